@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from quern.llm.mixing import OP1_SQL, op1_mix
+from quern.llm.packing import op9_packing
+from quern.llm.pii import op8_pii_pseudonyms
 from quern.llm.urls import OP10_SQL, op10_url_filter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix, op10_url_filter)}
+    return {f.__name__: f for f in (op1_mix, op8_pii_pseudonyms, op9_packing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
