@@ -125,7 +125,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
             got = shared.value.score(table.counts(raw_texts(batch, text_col))).astype(np.float64).clip(0, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got), pa.array((got >= CUT).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    schema = kept.schema.add("score", "double").add("predicted", "int")
+    schema = kept.schema.add("score", "double").add("predicted", "integer")
     return kept.mapInArrow(run, schema)
 
 
