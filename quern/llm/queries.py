@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quern.llm.html import op2_html_text
+from quern.llm.minhash import op5_minhash
 from quern.llm.mixing import OP1_SQL, op1_mix
 from quern.llm.packing import op9_packing
 from quern.llm.pii import op8_pii_pseudonyms
@@ -11,7 +12,7 @@ from quern.llm.urls import OP10_SQL, op10_url_filter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix, op2_html_text, op6_quality, op8_pii_pseudonyms, op9_packing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_mix, op2_html_text, op5_minhash, op6_quality, op8_pii_pseudonyms, op9_packing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
