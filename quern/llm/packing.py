@@ -61,28 +61,32 @@ def encoder(path: str | None) -> Encoder:
 
 
 class Index:
-    """BM25 postings of a shard, by term and by document."""
+    """BM25 postings of a shard of up to 4096 documents, by term and by document."""
 
     def __init__(self, docs: list[np.ndarray]):
         n = len(docs)
         sizes = np.array([max(len(d) - 1, 0) for d in docs], np.int64)
-        terms = [np.unique(d[:-1].astype(np.uint64) * np.uint64(1 << 17) + d[1:], return_counts=True) for d in docs]
-        owner = np.repeat(np.arange(n), [len(t[0]) for t in terms])
-        every = np.concatenate([t[0] for t in terms]) if n else np.empty(0, np.uint64)
-        often = np.concatenate([t[1] for t in terms]) if n else np.empty(0, np.int64)
-        order = np.argsort(every, kind="stable")
-        every, owner, often = every[order], owner[order], often[order]
-        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.empty(0, np.int64)
-        df = np.diff(np.r_[first, len(every)])
-        term = np.repeat(np.arange(len(first)), df)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / max(sizes.mean(), 1)) if n else sizes
-        weight = (idf[term] * often * (K1 + 1) / (often + norm[owner])).astype(np.float32)
-        shared = df[term] > 1
-        self.term, self.doc, self.weight = term[shared], owner[shared], weight[shared]
-        self.begin = np.searchsorted(self.term, np.arange(len(first) + 1))
+        # A posting is one number (40 bits of a term's hash, document, frequency), so that one plain sort makes the index.
+        packed = []
+        for i, d in enumerate(docs):
+            pairs = d[:-1].astype(np.uint64) << np.uint64(17) | d[1:]
+            term, often = np.unique(pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24), return_counts=True)
+            packed.append(term << np.uint64(24) | np.uint64(i << 12) | np.minimum(often, 4095).astype(np.uint64))
+        every = np.sort(np.concatenate(packed)) if n else np.empty(0, np.uint64)
+        term = every >> np.uint64(24)
+        again = np.r_[False, term[1:] == term[:-1]][: len(term)]
+        shared = again | np.r_[again[1:], False][: len(term)]
+        every, again = every[shared], again[shared]
+        self.doc = (every >> np.uint64(12) & np.uint64(4095)).astype(np.uint16)
+        often = (every & np.uint64(4095)).astype(np.float32)
+        self.begin = np.r_[np.flatnonzero(~again), len(every)]
+        df = np.diff(self.begin)
+        term = np.repeat(np.arange(len(df)), df)
+        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        norm = (K1 * (1 - B + B * sizes / max(sizes.mean(), 1))).astype(np.float32) if n else sizes
+        self.weight = idf[term] * often * np.float32(K1 + 1) / (often + norm[self.doc])
         back = np.argsort(self.doc, kind="stable")
-        self.own_term, self.own_weight = self.term[back], self.weight[back]
+        self.own_term, self.own_weight = term[back], self.weight[back]
         self.own = np.searchsorted(self.doc[back], np.arange(n + 1))
         self.n = n
 
