@@ -9,11 +9,12 @@ from quern.llm.mixing import OP1_SQL, op1_mix
 from quern.llm.packing import op9_packing
 from quern.llm.pii import op8_pii_pseudonyms
 from quern.llm.quality import op6_quality
+from quern.llm.substrings import op7_substring_dedup
 from quern.llm.urls import OP10_SQL, op10_url_filter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix, op2_html_text, op4_embedding_lsh, op5_minhash, op6_quality, op8_pii_pseudonyms, op9_packing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_mix, op2_html_text, op4_embedding_lsh, op5_minhash, op6_quality, op7_substring_dedup, op8_pii_pseudonyms, op9_packing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
