@@ -19,6 +19,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.common import batched, raw_texts
 
@@ -229,7 +230,7 @@ def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
             texts = [main_text(x.decode()) for x in raw_texts(batch, html_col)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*kept, "text", "n_chars"])
 
-    schema = pages.select(*kept).schema.add("text", "string").add("n_chars", "long")
+    schema = T.StructType([*pages.select(*kept).schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return pages.select(*kept, F.col(html_col)).mapInArrow(run, schema)
 
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.common import batched, bounded, raw_texts
 
@@ -125,7 +126,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
             got = shared.value.score(table.counts(raw_texts(batch, text_col))).astype(np.float64).clip(0, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got), pa.array((got >= CUT).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    schema = kept.schema.add("score", "double").add("predicted", "integer")
+    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return kept.mapInArrow(run, schema)
 
 
