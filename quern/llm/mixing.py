@@ -112,10 +112,12 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     )
 
     kept = docs.select(*[c for c in docs.columns if c not in OUTPUTS or c in (id_col, text_col, source_col)])
-    final = kept.withColumn("size", word_count(F.col(text_col))).alias("d").join(bounded(plan.withColumnRenamed("source", "__of")), F.col(f"d.{source_col}").eqNullSafe(F.col("__of")))
-    cut = F.when(F.col("size") * LONG_SHARE > F.col("source_size"), F.col("long_cut")).otherwise(F.col("short_cut"))
-    copies = (F.col("whole") + (uniform(F.col(id_col), seed) <= cut).cast("long")).alias("copies")
-    return final.select("d.*", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    plan = plan.select([F.col(c).alias(f"__mix_{c}") for c in plan.columns])
+    final = kept.withColumn("size", word_count(F.col(text_col))).join(bounded(plan), F.col(source_col).eqNullSafe(F.col("__mix_source")))
+    cut = F.when(F.col("size") * LONG_SHARE > F.col("__mix_source_size"), F.col("__mix_long_cut")).otherwise(F.col("__mix_short_cut"))
+    copies = (F.col("__mix_whole") + (uniform(F.col(id_col), seed) <= cut).cast("long")).alias("copies")
+    final = final.select(*kept.columns, "size", F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), copies)
+    return final.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:
