@@ -10,8 +10,9 @@ of each class goes on.
 3. Pairs pass if their signatures agree on ESTIMATE of the minima (five standard errors below the threshold), then if
    the full sets, made again from the whole texts, reach the similarity. Links give components.
 4. Where a bucket still holds several components, members outside its hub's component are compared with all others of
-   the bucket by signature, in blocks; pairs across components that pass are verified on full sets and join components.
-   So no link between candidates is lost, and pairs within a component found before are never made.
+   the bucket, by signature and then on full sets, in tasks of two blocks of BLOCK members each. A task sends on the
+   links that join components, never the pairs. So no link between candidates is lost, and pairs within a component
+   found before are not tried.
 
 A pair at the threshold misses every band with a chance of (1 - 0.75**4)**24 = 0.0001.
 
@@ -81,19 +82,19 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(same, pa.int64())), pa.array([sets[i].tobytes() for i in same], pa.binary())], names=["id", "shingles"])
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < PERCENT * len(y):
+        return False
+    both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-            x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            if 100 * len(x) < PERCENT * len(y):
-                keep.append(False)
-                continue
-            at = np.searchsorted(y, x)
-            both = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        pairs = zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)
+        keep = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -105,33 +106,43 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one block of a bucket that lie in different components and whose signatures agree enough."""
-    out: list[np.ndarray] = []
-    for group in groups_of(batches, ["bucket", "block"]):
-        ids, comps, blocks = (group.column(c).to_numpy() for c in ("id", "comp", "blocks"))
-        hub, block, count = group.column("hub")[0].as_py(), group.column("block")[0].as_py(), int(blocks[0])
+    """Verified links between components in one task of a bucket: members inside the hub's component against others, or
+    two blocks of others. Once two components are joined here, no more of their pairs are tried."""
+    for group in groups_of(batches, ["bucket", "task"]):
+        ids, comps, own = (group.column(c).to_numpy() for c in ("id", "comp", "own"))
+        band, hub, hub_comp, kind = (group.column(c)[0].as_py() for c in ("band", "hub", "hub_comp", "kind"))
         minima = np.frombuffer(b"".join(group.column("minima").to_pylist()), np.uint32).reshape(-1, HASHES)
-        minor = np.flatnonzero(comps != group.column("hub_comp")[0].as_py())
-        is_minor = np.zeros(len(ids), bool)
-        is_minor[minor] = True
+        sets = group.column("shingles")
+        minor = np.flatnonzero(comps != hub_comp)
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in above:  # noqa: B023
+                x = above[x]  # noqa: B023
+            return x
+
+        found = []
         for start in range(0, len(minor), 128):
             rows = minor[start : start + 128]
             alike = np.zeros((len(rows), len(ids)), np.int16)
             for h in range(HASHES):
                 alike += minima[rows, h][:, None] == minima[None, :, h]
-            found = (alike >= ESTIMATE * HASHES) & (comps[rows][:, None] != comps[None, :]) & (ids[rows][:, None] != hub) & (ids[None, :] != hub)
-            # Two members outside the hub's component stand in every block, and are compared in one.
-            once = (ids[rows][:, None] < ids[None, :]) & ((ids[rows][:, None] + ids[None, :]) % count == block)
-            i, j = np.nonzero(found & (~is_minor[None, :] | once))
-            if len(i):
-                out.append(np.stack([np.minimum(ids[rows[i]], ids[j]), np.maximum(ids[rows[i]], ids[j])]))
-        if sum(x.shape[1] for x in out) > 50_000:
-            a, b = np.concatenate(out, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-            out = []
-    if out:
-        a, b = np.concatenate(out, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            tried = (alike >= ESTIMATE * HASHES) & (comps[rows][:, None] != comps[None, :]) & (ids[rows][:, None] != hub) & (ids[None, :] != hub)
+            # Kind 0: against the hub's component. Others meet each other within a block (1) or between two (2).
+            tried &= (comps == hub_comp)[None, :] if kind == 0 else ids[rows][:, None] < ids[None, :] if kind == 1 else own[rows][:, None] < own[None, :]
+            i, j = np.nonzero(tried)
+            # A pair is tried in the first bucket that it shares.
+            first = ~(minima[rows[i]].reshape(-1, BANDS, ROWS)[:, :band] == minima[j].reshape(-1, BANDS, ROWS)[:, :band]).all(2).any(1)
+            i, j = i[first], j[first]
+            for k in np.argsort(-alike[i, j], kind="stable").tolist():
+                x, y = int(rows[i[k]]), int(j[k])
+                p, q = top(int(comps[x])), top(int(comps[y]))
+                if p != q and _similar(np.frombuffer(sets[x].as_py(), np.uint64), np.frombuffer(sets[y].as_py(), np.uint64)):
+                    above[max(p, q)] = min(p, q)
+                    found.append((int(comps[x]), int(comps[y])))
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
@@ -140,12 +151,10 @@ def _both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return right.join(values.select(F.col("id").alias("a"), F.col(column).alias("left")), "a").select("a", "b", "left", "right")
 
 
-def _links(pairs: DataFrame, keys: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(keys, "id")
+def _sets(ids: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """(id, shingles) of the ids (id, key)."""
     wanted = bounded(materialize(ids, f"{name}-ids"))
-    sets = materialize(docs.join(wanted, "id").select("id", "key", "text").mapInArrow(_full_sets, "id long, shingles binary"), f"{name}-sets")
-    return materialize(_both(pairs, sets, "shingles").mapInArrow(_verify, "a long, b long"), f"{name}-links")
+    return materialize(docs.join(wanted, "id").select("id", "key", "text").mapInArrow(_full_sets, "id long, shingles binary"), f"{name}-sets")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,27 +167,38 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = materialize(sketches.join(keys, ["id", "key"], "left_semi").dropDuplicates(["id"]).select("id", "key", "minima"), "minhash-reps")
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("minima", b * 4 * ROWS + 1, F.lit(4 * ROWS))))
-    members = reps.select("id", F.explode(band).alias("bucket"))
+    members = reps.select("id", F.posexplode(band).alias("band", "bucket"))
     hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     inside = materialize(members.join(hubs, "bucket"), "minhash-buckets")
     stars = inside.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     alike = materialize(_both(stars, reps, "minima").mapInArrow(_agree, "a long, b long"), "minhash-pairs")
     known = reps.select("id", "key")
-    links = _links(alike, known, texts, "minhash-stars")
+    sets = _sets(alike.select(F.col("a").alias("id")).union(alike.select("b")).distinct().join(known, "id"), texts, "minhash-stars")
+    links = materialize(_both(alike, sets, "shingles").mapInArrow(_verify, "a long, b long"), "minhash-links")
     labels = materialize(components(links, "minhash-cc"), "minhash-labels")
 
-    # Buckets that still hold more than one component, and whose hub has not met all the others.
-    placed = inside.where("size > 2").join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "hub", "size", F.coalesce("component", "id").alias("comp"))
-    torn = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "id").alias("hub_comp")).where("low <> high").select("bucket", "hub_comp")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    spread = F.when(F.col("comp") == F.col("hub_comp"), F.array(F.pmod(F.xxhash64("id"), blocks))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    rest = placed.join(torn, "bucket").withColumn("blocks", blocks).join(reps.select("id", "minima"), "id").withColumn("block", F.explode(spread))
-    across = rest.select("bucket", "block", "blocks", "id", "hub", "comp", "hub_comp", "minima").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "id").mapInArrow(_across, "a long, b long")
-    more = materialize(across.distinct(), "minhash-across")
-    late = _links(more, known, texts, "minhash-late")
-    name = lambda side: F.coalesce(F.col(f"{side}.component"), F.col(f"e.{side}"))
-    joined = late.alias("e").join(labels.alias("a"), F.col("e.a") == F.col("a.node"), "left").join(labels.alias("b"), F.col("e.b") == F.col("b.node"), "left").select(name("a").alias("a"), name("b").alias("b"))
-    merged = components(joined, "minhash-merge").select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    # Buckets that still hold more than one component, and whose hub has not met all pairs.
+    placed = inside.where("size > 2").join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", "hub", F.coalesce("component", "id").alias("comp"))
+    parts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("long")
+    torn = parts.groupBy("bucket").agg(F.count("*").alias("comps"), F.min_by("comp", "least").alias("hub_comp"), F.min_by("n", "least").alias("n_major"), F.sum("n").alias("size")).where("comps > 1")
+    torn = torn.withColumn("n_minor", F.col("size") - F.col("n_major")).select("bucket", "hub_comp", blocks("n_major").alias("majors"), blocks("n_minor").alias("minors"))
+    rest = placed.join(torn, "bucket")
+    major = F.col("comp") == F.col("hub_comp")
+    own = F.pmod(F.xxhash64("id"), F.when(major, F.col("majors")).otherwise(F.col("minors")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    # Tasks of a bucket: a block inside the hub's component and one outside, or two blocks outside.
+    inner = F.transform(upto("minors"), lambda c: F.struct((F.col("own") * F.col("minors") + c).alias("task"), F.lit(0).alias("kind")))
+    outer = F.concat(
+        F.transform(upto("majors"), lambda i: F.struct((i * F.col("minors") + F.col("own")).alias("task"), F.lit(0).alias("kind"))),
+        F.transform(upto("minors"), lambda c: F.struct((F.col("majors") * F.col("minors") + F.least("own", c) * F.col("minors") + F.greatest("own", c)).alias("task"), F.when(F.col("own") == c, 1).otherwise(2).alias("kind"))),
+    )
+    rest = materialize(rest.withColumn("own", own), "minhash-torn")
+    more = _sets(rest.select("id").distinct().join(known, "id"), texts, "minhash-late")
+    full = rest.join(reps.select("id", "minima").join(more, "id"), "id").withColumn("t", F.explode(F.when(major, inner).otherwise(outer)))
+    full = full.select("bucket", "t.task", F.col("t.kind").alias("kind"), "band", "own", "id", "hub", "comp", "hub_comp", "minima", "shingles")
+    late = full.repartition("bucket", "task").sortWithinPartitions("bucket", "task", "id").mapInArrow(_across, "a long, b long")
+    merged = components(materialize(late, "minhash-late"), "minhash-merge").select(F.col("node").alias("component"), F.col("component").alias("merged"))
     every = reps.select(F.col("id").alias("node")).join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     final = every.join(merged, "component", "left").select(F.col("node").alias("rep"), F.coalesce("merged", "component").alias("component_id"))
     # A class is linked through its smallest id, unless that id stands for another text.
