@@ -1,7 +1,4 @@
-"""Special functions that Spark SQL lacks, as SQL text over an argument's SQL text.
-
-They are plain arithmetic, so they stay inside generated code; the argument should be a column name, as it is repeated.
-"""
+"""Special functions that Spark SQL lacks, as Columns, and as SQL text for other engines."""
 
 from __future__ import annotations
 
@@ -10,23 +7,20 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SQRT_PI = f"{math.sqrt(math.pi)!r}e0"
+_TERMS = [(-1) ** n / (math.factorial(n) * (2 * n + 1)) for n in range(30)]
 
 
-def erfc_sql(x: str) -> str:
+def erfc(x: Column) -> Column:
     """The complementary error function of x >= 0: the power series of erf below 2, else a continued fraction."""
-    terms = 40
-    # sum over n of (-1)^n y^n / (n! (2n+1)), by Horner's rule.
-    weights = [1 / (math.factorial(n) * (2 * n + 1)) * (-1) ** n for n in range(terms)]
-    series = _num(weights[-1])
-    for w in reversed(weights[:-1]):
-        series = f"({_num(w)} + {x} * {x} * {series})"
-    small = f"1e0 - 2e0 / {SQRT_PI} * {x} * {series}"
-    fraction = x
-    for n in range(45, 0, -1):
-        fraction = f"({x} + {n / 2!r}e0 / {fraction})"
-    large = f"exp(-{x} * {x}) / {SQRT_PI} / {fraction}"
-    return f"(CASE WHEN {x} < 2e0 THEN {small} ELSE {large} END)"
+    zero = F.lit(0.0)
+    series = F.aggregate(F.array(*[F.lit(w) for w in reversed(_TERMS)]), zero, lambda s, w: w + x * x * s)
+    fraction = F.aggregate(F.sequence(F.lit(22), F.lit(1), F.lit(-1)), x, lambda f, n: x + n / 2 / f)
+    return F.when(x < 2, 1 - F.lit(2 / math.sqrt(math.pi)) * x * series).otherwise(F.exp(-x * x) / math.sqrt(math.pi) / fraction)
+
+
+def two_sided(z: Column) -> Column:
+    """P(|Z| >= |z|) of a standard normal Z."""
+    return erfc(F.abs(z) / math.sqrt(2))
 
 
 def _num(v: float) -> str:
@@ -34,9 +28,21 @@ def _num(v: float) -> str:
     return text if "e" in text else text + "e0"
 
 
+def erfc_sql(x: str) -> str:
+    """erfc as SQL text of plain arithmetic, for engines without higher-order functions; x, a column, is repeated."""
+    series = _num(_TERMS[-1])
+    for w in reversed(_TERMS[:-1]):
+        series = f"({_num(w)} + {x} * {x} * {series})"
+    fraction = x
+    for n in range(22, 0, -1):
+        fraction = f"({x} + {n / 2!r}e0 / {fraction})"
+    root = _num(math.sqrt(math.pi))
+    return f"(CASE WHEN {x} < 2e0 THEN 1e0 - 2e0 / {root} * {x} * {series} ELSE exp(-{x} * {x}) / {root} / {fraction} END)"
+
+
 def two_sided_sql(z: str) -> str:
-    """P(|Z| >= z) of a standard normal Z, z >= 0."""
-    return erfc_sql(f"({z} / {math.sqrt(2)!r}e0)")
+    """two_sided for z >= 0 as SQL text."""
+    return erfc_sql(f"({z} / {_num(math.sqrt(2))})")
 
 
 def lgamma(x: Column) -> Column:
@@ -64,9 +70,9 @@ def hypergeometric_tail(k: Column, marked: Column, drawn: Column, total: Column)
 
 
 def chi2_tail(x: Column, df: int) -> Column:
-    """The upper tail of chi-squared with 1 or 2 degrees of freedom; x the name of a column for df 1."""
+    """The upper tail of chi-squared with 1 or 2 degrees of freedom, in closed form."""
     if df == 2:
         return F.exp(-x / 2)
     if df == 1:
-        return F.expr(erfc_sql(f"sqrt({x._jc.toString()} / 2e0)"))
-    raise ValueError("closed forms exist here for 1 and 2 degrees of freedom")
+        return erfc(F.sqrt(x / 2))
+    raise ValueError("closed forms exist for 1 and 2 degrees of freedom")

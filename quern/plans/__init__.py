@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("matrix",)
+MODULES = ("matrix", "markers")
 
 
 def all_queries() -> dict:
