@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of a table of ids or digests (some 50 bytes each) that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
+BATCH_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,6 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark pass Python workers BATCH_ROWS rows at a time, not 10,000, where nothing else has been set: rows hold
+    whole texts, and a worker shares its executor's memory with others."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, and outlives lost executors."""
     spark = df.sparkSession
@@ -61,7 +71,7 @@ class WordHash(dict):
     """64-bit hashes of words, kept while they fit a bounded table."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -113,7 +123,7 @@ def batched(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20,
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = np.cumsum(np.array([len(x) if x is not None else 0 for x in _raw(batch.column(column))], np.int64))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
             done = ends[start - 1] if start else 0

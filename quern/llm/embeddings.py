@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import groups_of, materialize
+from quern.llm.common import groups_of, materialize, small_batches
 from quern.llm.components import components
 
 THRESHOLD, MISS, BLOCK = 0.98, 1e-6, 1024
@@ -117,6 +117,7 @@ def _compare(threshold: float, tables: int):
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of vectors: id_col, n_links (other rows linked directly), component_id (smallest id), kept."""
+    small_batches(vectors.sparkSession)
     bits, tables = plan(vectors.count(), threshold)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     hashed = materialize(rows.mapInArrow(_hashed(bits, tables), "id long, label string, key binary, vector binary, signs binary"), "lsh-hashed")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import batched, raw_texts
+from quern.llm.common import batched, raw_texts, small_batches
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
@@ -223,6 +223,7 @@ def main_text(html: str) -> str:
 
 def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     """pages, without the html, with text and n_chars (code points)."""
+    small_batches(pages.sparkSession)
     kept = [c for c in pages.columns if c not in ("text", "n_chars", html_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

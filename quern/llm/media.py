@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import batched, bounded, materialize
+from quern.llm.common import batched, bounded, materialize, small_batches
 
 #: Shared places whose list may be broadcast (some 40 MB).
 MARKS = 1_000_000
@@ -132,6 +132,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store_media(docs: DataFrame, *, text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """The store of the texts' media: lists (sha, chunks: ordered digests), refs (sha, at, digest) of chunks that another
     medium owns, and the stored rows (sha, complete, own chunks)."""
+    small_batches(docs.sparkSession)
     media = docs.select(medium(F.col(text_col)).alias("medium")).withColumn("sha", F.unhex(F.sha2("medium", 256)))
     listed = materialize(media.mapInArrow(_list, "sha binary, chunks array<binary>"), "media-lists")
     lists = listed.select("sha", "chunks").dropDuplicates(["sha"])

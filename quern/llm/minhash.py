@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordHash, batched, bounded, gram_hashes, groups_of, materialize, raw_texts
+from quern.llm.common import WordHash, batched, bounded, gram_hashes, groups_of, materialize, raw_texts, small_batches
 from quern.llm.components import components
 
 K, PERCENT, HASHES, ROWS, ESTIMATE = 5, 75, 96, 4, 0.52
@@ -159,6 +159,7 @@ def _sets(ids: DataFrame, docs: DataFrame, name: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (the smallest id reachable), kept."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = materialize(texts.mapInArrow(_sketch, "id long, n long, key binary, minima binary"), "minhash-sketches")
     classes = sketches.where("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("rep"))

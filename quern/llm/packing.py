@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import batched, raw_texts
+from quern.llm.common import batched, raw_texts, small_batches
 
 WINDOW, END = 1024, 0
 #: A shard holds so many documents or tokens at most (one document may exceed it), a query so many terms.
@@ -189,6 +189,7 @@ def _mapper(path: str | None):
 
 def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece. tokenizer: path of the ranks file on the executors; the installed public one if None."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_mapper(tokenizer), SCHEMA)
 
 

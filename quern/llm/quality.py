@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import batched, bounded, raw_texts
+from quern.llm.common import batched, raw_texts, small_batches
 
 #: Labelled rows fitted at most; hashed words, shapes; latent directions; neighbours; the score from which a text is good.
 FIT_ROWS, WORDS, SHAPES, DIMS, K, CUT = 4000, 3072, 512, 64, 15, 0.3
@@ -107,6 +107,7 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> Model:
     """The model of at most `rows` labelled rows that are not held out. Their features, not their texts, reach the driver."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64(F.lit("fit"), "__id"), "__id").limit(rows)
     sample = docs.select(F.col(id_col).alias("__of"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("__of") == F.col("__id")).select("__id", "text", "quality").orderBy("__id", F.xxhash64("text"))
@@ -117,6 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """docs with score and predicted; all other columns stay."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*[c for c in docs.columns if c not in ("score", "predicted") or c == text_col])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordHash, batched, bounded, gram_hashes, materialize, raw_texts
+from quern.llm.common import WordHash, batched, bounded, gram_hashes, materialize, raw_texts, small_batches
 
 SPAN, K = 50, 20
 #: K-grams in a window.
@@ -107,6 +107,7 @@ def _with_text(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scanned = materialize(texts.mapInArrow(_scan, "id long, n_words long, digest binary, anchors array<long>"), "repeat-scan")
     long = scanned.where((F.col("n_words") >= SPAN) & F.col("id").isNotNull())
