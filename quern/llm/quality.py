@@ -70,12 +70,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
+    """Fitted to counts, which it overwrites (the driver's memory holds them once), by labels 0 and 1."""
+
     def __init__(self, counts: np.ndarray, labels: np.ndarray):
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
         n = len(labels)
         self.idf = np.log((1 + n) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
-        x = _unit(counts * self.idf)
+        x = counts
+        x *= self.idf
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
         dims = min(DIMS, n, FEATURES)
         probe = np.random.default_rng(7).standard_normal((FEATURES, min(dims + 16, FEATURES))).astype(np.float32)
         span = x @ probe
@@ -101,8 +105,11 @@ class Model:
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = Features()
     for batch in batched(batches, "text", rows=BLOCK):
-        counts = table.counts(raw_texts(batch, "text"))
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in counts.astype(np.float16)], pa.binary()), batch.column("quality")], names=["counts", "quality"])
+        rows = []
+        for row in table.counts(raw_texts(batch, "text")):
+            at = np.flatnonzero(row)
+            rows.append(at.astype(np.uint16).tobytes() + row[at].astype(np.float16).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("quality")], names=["counts", "quality"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> Model:
@@ -112,7 +119,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen = known.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64(F.lit("fit"), "__id"), "__id").limit(rows)
     sample = docs.select(F.col(id_col).alias("__of"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("__of") == F.col("__id")).select("__id", "text", "quality").orderBy("__id", F.xxhash64("text"))
     got = sample.limit(rows).select("text", "quality").mapInArrow(_featurize, "counts binary, quality int").toArrow()
-    counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), np.float16).reshape(-1, FEATURES).astype(np.float32)
+    counts = np.zeros((got.num_rows, FEATURES), np.float32)
+    for row, packed in zip(counts, got.column("counts").to_pylist(), strict=True):
+        half = len(packed) // 2
+        row[np.frombuffer(packed[:half], np.uint16)] = np.frombuffer(packed[half:], np.float16)
     return Model(counts, got.column("quality").to_numpy().astype(np.float32))
 
 
