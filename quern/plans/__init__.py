@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("matrix", "markers")
+MODULES = ("matrix", "markers", "tables", "benchmarks")
 
 
 def all_queries() -> dict:
