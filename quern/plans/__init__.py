@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("matrix", "markers", "tables", "benchmarks")
+MODULES = ("matrix", "markers", "tables", "benchmarks", "sequences")
 
 
 def all_queries() -> dict:

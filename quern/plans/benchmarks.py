@@ -238,11 +238,11 @@ def progress(t):
     return b.progress(rows, "k", "o_orderkey", "st", "v").withColumn("gain", r("gain"))
 
 
-@query("B20", sql="SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%steel%' THEN 'metal' WHEN lower(p_type) LIKE '%brass%' OR lower(p_type) LIKE '%copper%' THEN 'alloy' ELSE 'other' END AS category FROM part")
+@query("B20", sql="SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%economy%' THEN 'metal' WHEN lower(p_type) LIKE '%promo%' OR lower(p_type) LIKE '%small%' THEN 'alloy' ELSE 'other' END AS category FROM part")
 def categories(t):
-    return t.part.select("p_partkey", b.categorize(F.col("p_type"), [("metal", "steel"), ("alloy", "brass|copper")]).alias("category"))
+    return t.part.select("p_partkey", b.categorize(F.col("p_type"), [("metal", "economy"), ("alloy", "promo|small")]).alias("category"))
 
 
-@query("K9", sql="SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%1%' THEN 1 ELSE 0 END + CASE WHEN lower(p_type) LIKE '%steel%' THEN 3 ELSE 0 END + CASE WHEN lower(p_name) LIKE '%steel%' THEN 1 ELSE 0 END + CASE WHEN lower(p_type) LIKE '%1%' THEN 3 ELSE 0 END AS score FROM part WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 15")
+@query("K9", sql="SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%ring%' THEN 1 ELSE 0 END + CASE WHEN lower(p_type) LIKE '%economy%' THEN 3 ELSE 0 END + CASE WHEN lower(p_name) LIKE '%economy%' THEN 1 ELSE 0 END + CASE WHEN lower(p_type) LIKE '%ring%' THEN 3 ELSE 0 END AS score FROM part WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 15")
 def registry_search(t):
-    return b.search(t.part, ["1", "steel"], {"p_name": 1, "p_type": 3}, "p_partkey", 15).select("p_partkey", "score")
+    return b.search(t.part, ["ring", "economy"], {"p_name": 1, "p_type": 3}, "p_partkey", 15).select("p_partkey", "score")
