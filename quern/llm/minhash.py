@@ -169,7 +169,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("minima", b * 4 * ROWS + 1, F.lit(4 * ROWS))))
     members = reps.select("id", F.posexplode(band).alias("band", "bucket"))
-    hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    # Written before they are joined: Spark splits a hot key's partition in a join of two plain exchanges only.
+    hubs = materialize(members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1"), "minhash-hubs")
     inside = materialize(members.join(hubs, "bucket"), "minhash-buckets")
     stars = inside.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     alike = materialize(_both(stars, reps, "minima").mapInArrow(_agree, "a long, b long"), "minhash-pairs")
@@ -184,6 +185,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("long")
     torn = parts.groupBy("bucket").agg(F.count("*").alias("comps"), F.min_by("comp", "least").alias("hub_comp"), F.min_by("n", "least").alias("n_major"), F.sum("n").alias("size")).where("comps > 1")
     torn = torn.withColumn("n_minor", F.col("size") - F.col("n_major")).select("bucket", "hub_comp", blocks("n_major").alias("majors"), blocks("n_minor").alias("minors"))
+    torn = materialize(torn, "minhash-tears")
     rest = placed.join(torn, "bucket")
     major = F.col("comp") == F.col("hub_comp")
     own = F.pmod(F.xxhash64("id"), F.when(major, F.col("majors")).otherwise(F.col("minors")))

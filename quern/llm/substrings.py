@@ -117,12 +117,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     unit = classes.select(F.col("first").alias("id"), "digest", (F.row_number().over(W.partitionBy("first").orderBy("digest")) - 1).cast("long").alias("unit"))
 
     seeds = first.select("id", "digest", F.explode("anchors").alias("anchor"))
-    shared = seeds.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
+    # Counted keys are written before they are joined: Spark splits a hot key's partition in a join of two plain exchanges only.
+    shared = materialize(seeds.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"), "repeat-anchors")
     found = seeds.join(shared, "anchor").groupBy("id", "digest").agg(F.collect_list("anchor").alias("shared"))
     found = materialize(found.join(unit, ["id", "digest"]), "repeat-seeds")
 
     windows = materialize(_with_text(texts, found).select("id", "digest", "unit", "shared", "text").mapInArrow(_windows, "h long, g int, id long, at long"), "repeat-windows")
-    least = windows.groupBy("h", "g").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "g", "low")
+    least = materialize(windows.groupBy("h", "g").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "g", "low"), "repeat-least")
     repeats = windows.join(least, ["h", "g"]).where("id > low").groupBy("id", F.shiftright("at", 32).alias("unit")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).alias("starts"))
     marked = materialize(repeats.join(unit, ["id", "unit"]).select("id", "digest", "starts"), "repeat-starts")
     cut = _with_text(texts, marked).select("id", "digest", "starts", "text").mapInArrow(_remove, "id long, digest binary, n_removed long, kept_sha256 string").dropDuplicates(["id", "digest"])
