@@ -12,15 +12,16 @@ from quern.operators import models as md
 from quern.operators import sequences as q
 from quern.plans.base import query, r
 from quern.plans.matrix import GRID, _grid
+from quern.streaming.sessions import session_minutes as session_minutes_of
 
-STATES = "SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS place, l_returnflag AS st FROM lineitem WHERE l_linenumber = 1"
+STATES = "SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS place, min(l_returnflag) AS st FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL"
 
 
 @query("W14", sql=f"""
 WITH v AS ({STATES}), s AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY place) - row_number() OVER (PARTITION BY k, st ORDER BY place) AS isl, count(*) OVER (PARTITION BY k) AS c FROM v),
 u AS (SELECT k, st, min(place) AS first, max(place) AS last, count(*) AS n FROM s WHERE c >= 2 GROUP BY k, st, isl) SELECT k, st, first, last, n, row_number() OVER (ORDER BY k, first) AS region FROM u""")
 def run_lengths(t):
-    rows = t.lineitem.where("l_linenumber = 1").select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), F.col("l_returnflag").alias("st"))
+    rows = t.lineitem.where("l_linenumber = 1").groupBy(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place")).agg(F.min("l_returnflag").alias("st"))
     return q.run_lengths(rows, ["k"], "place", "st")
 
 
@@ -39,6 +40,13 @@ def _traces(t):
     return t.embeddings.where("vec_id < 50").select(F.col("vec_id").alias("trace_id"), F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 4)).alias("samples"))
 
 
+@query("G38", sql="""
+WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 600 * 60000000 THEN 0 ELSE 1 END AS st FROM events), s AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6, 5) + 0.0 AS minutes, count(*) AS events FROM s GROUP BY user_id, n""")
+def session_minutes(t):
+    return session_minutes_of(t.events, "user_id", "ts", 600).select("user_id", r("minutes", 5).alias("minutes"), "events")
+
+
 @query("S2", "SRC9")
 def bandpass(t):
     return q.bandpass(_traces(t), 100.0, 1.0, 20.0, 4, True).select("trace_id", F.transform("samples", lambda x: F.round(x, 6)).alias("samples"))
