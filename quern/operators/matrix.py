@@ -21,7 +21,8 @@ def n_rows(obs: DataFrame) -> Column:
 
 
 def sample_variance(total: Column, squares: Column, n: Column) -> Column:
-    return F.greatest(squares - total * total / n, F.lit(0.0)) / (n - 1)
+    """Null for a single row."""
+    return F.when(n > 1, F.greatest(squares - total * total / n, F.lit(0.0)) / (n - 1))
 
 
 @operator("G1", group="matrix")

@@ -180,7 +180,7 @@ def superposed_rmsd(frames: DataFrame, reference: DataFrame) -> DataFrame:
 def tensor_fit(voxels: DataFrame, design: list[list[float]]) -> DataFrame:
     """Weighted least squares of log signals on a design (constant last) by voxel: fractional anisotropy and mean diffusivity.
 
-    design rows: the six tensor products of a gradient and -1s as by the caller; voxels: (voxel_id, signal array).
+    design rows: -xx, -yy, -zz, -2xy, -2xz, -2yz of a gradient, and 1; voxels: (voxel_id, signal array).
     """
     x = np.asarray(design, float)
 
@@ -191,7 +191,7 @@ def tensor_fit(voxels: DataFrame, design: list[list[float]]) -> DataFrame:
             w = np.exp(2 * first @ x.T)
             a = np.einsum("vi,ij,ik->vjk", w, x, x)
             beta = np.linalg.solve(a, np.einsum("vi,ij,vi->vj", w, x, y)[..., None])[..., 0]
-            d = beta[:, [0, 1, 3, 1, 2, 4, 3, 4, 5]].reshape(-1, 3, 3)
+            d = beta[:, [0, 3, 4, 3, 1, 5, 4, 5, 2]].reshape(-1, 3, 3)
             e = np.maximum(np.linalg.eigvalsh(d), 1e-12)
             md = e.mean(1)
             fa = np.sqrt(1.5 * ((e - md[:, None]) ** 2).sum(1) / (e**2).sum(1))

@@ -111,7 +111,7 @@ WITH b AS (SELECT grp, count(*) AS n FROM @panel_obs GROUP BY grp UNION ALL SELE
 a AS (SELECT grp, col_id, sum(value) AS s, sum(value * value) AS ss FROM @panel JOIN panel_obs USING (row_id) GROUP BY GROUPING SETS ((grp, col_id), (col_id)))
 SELECT a.grp, col_id, round(s / n, 6) AS mean, CASE WHEN n > 1 THEN round((ss - s * s / n) / (n - 1), 5) END AS var FROM a JOIN b ON a.grp IS NOT DISTINCT FROM b.grp""")
 def batch_moments(t):
-    return m.batch_moments(t.panel(), t.panel_obs()).withColumns({"mean": r("mean"), "var": r(F.when(~F.isnan("var"), F.col("var")), 5)})
+    return m.batch_moments(t.panel(), t.panel_obs()).withColumns({"mean": r("mean"), "var": r("var", 5)})
 
 
 @query("G8", sql="""

@@ -41,7 +41,7 @@ def _traces(t):
 
 
 @query("G38", sql="""
-WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 600 * 60000000 THEN 0 ELSE 1 END AS st FROM events), s AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 36000000000 THEN 0 ELSE 1 END AS st FROM events), s AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
 SELECT user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6, 5) + 0.0 AS minutes, count(*) AS events FROM s GROUP BY user_id, n""")
 def session_minutes(t):
     return session_minutes_of(t.events, "user_id", "ts", 600).select("user_id", r("minutes", 5).alias("minutes"), "events")
@@ -277,10 +277,10 @@ def poisson_regression(t):
 
 @query("M10", sql=f"""
 WITH {GRID}, x AS (SELECT row_id, row_id % 7 AS k FROM @panel_obs), b AS (SELECT col_id, regr_slope(value, k) AS s, regr_intercept(value, k) AS i FROM grid JOIN x USING (row_id) GROUP BY 1)
-SELECT row_id, col_id, round(value - i - s * k, 5) + 0.0 AS value FROM grid JOIN x USING (row_id) JOIN b USING (col_id)""")
+SELECT row_id, col_id, round(value - i - s * k, 7) + 0.0 AS value FROM grid JOIN x USING (row_id) JOIN b USING (col_id)""")
 def regress_out(t):
     rows = t.panel_obs().select("row_id", (F.col("row_id") % 7).alias("k"))
-    return md.regress_out(_grid(t), rows, ["k"]).withColumn("value", r("value", 5))
+    return md.regress_out(_grid(t), rows, ["k"]).withColumn("value", r("value", 7))
 
 
 @query("N1", "N2", sql=f"WITH {GRID}, v AS (SELECT col_id, var_samp(value) AS v FROM grid GROUP BY 1) SELECT round(sum(v), 3) AS total, 1e0 AS share FROM v")
