@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
@@ -39,20 +39,28 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage, and outlives lost executors."""
+def materialize(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts the lineage, and outlives lost executors.
+
+    The rows, and what other aggregates are asked for, are counted as they are written: see seen().
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quern-{uuid.uuid4().hex[:12]}-{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    watch = Observation()
+    df.observe(watch, F.count(F.lit(1)).alias("rows"), *[m.alias(k) for k, m in metrics.items()]).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._quern_path = path
+    out._quern = {"path": path} | watch.get
     return out
 
 
+def seen(df: DataFrame) -> dict:
+    """The path, rows and metrics of a table of materialize()."""
+    return getattr(df, "_quern", {})
+
+
 def release(df: DataFrame) -> None:
     """Delete a table of materialize() that no later plan reads."""
-    path = getattr(df, "_quern_path", None)
-    if path:
+    if path := seen(df).get("path"):
         jvm = df.sparkSession._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
@@ -60,7 +68,8 @@ def release(df: DataFrame) -> None:
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, to be broadcast if it has been counted to hold no more than so many rows; else left to a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    held = seen(df)["rows"] if seen(df) else df.limit(rows + 1).count()
+    return F.broadcast(df) if held <= rows else df
 
 
 def word_count(text: Column) -> Column:

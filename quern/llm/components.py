@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, release
+from quern.llm.common import materialize, release, seen
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,16 +29,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     number of rounds grows with the logarithm of the component size squared at most. Ends when a round changes nothing.
     """
     clean = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = materialize(clean, f"{name}-0")
-    mark = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    seen, turn = mark(now), 0
-    while seen["n"]:
+    mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    now, turn = materialize(clean, f"{name}-0", mark=mark), 0
+    while seen(now)["rows"]:
         turn += 1
         stars = materialize(_large_star(now), f"{name}-{turn}l")
-        after = materialize(_small_star(stars), f"{name}-{turn}s")
+        after = materialize(_small_star(stars), f"{name}-{turn}s", mark=mark)
+        same = (seen(now)["rows"], seen(now)["mark"]) == (seen(after)["rows"], seen(after)["mark"])
         release(stars)
         release(now)
-        now, before, seen = after, seen, mark(after)
-        if seen == before:
+        now = after
+        if same:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import batched, bounded, materialize, small_batches
+from quern.llm.common import batched, bounded, materialize, seen, small_batches
 
 #: Shared places whose list may be broadcast (some 40 MB).
 MARKS = 1_000_000
@@ -143,7 +143,7 @@ def store_media(docs: DataFrame, *, text_col: str = "text") -> tuple[DataFrame,
     owned = (F.col("sha") == F.col("owner")) & (F.col("at") == F.col("owner_at"))
     marks = shared.groupBy("sha").agg(F.collect_list(F.when(~owned, F.col("at"))).alias("absent"), F.collect_list(F.when(owned, F.col("at"))).alias("lent"))
     # Broadcast only if their places, four bytes each, and digests of media are counted to be few.
-    few = shared.limit(MARKS + 1).count() <= MARKS
+    few = seen(shared)["rows"] <= MARKS
     marks = materialize(marks, "media-marks")
     marks = F.broadcast(marks) if few else marks
     # One row of each medium is stored: repeats are dropped by a join on the digests of media that have any.

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded, materialize, word_count
+from quern.llm.common import bounded, materialize, seen, word_count
 
 LONG_SHARE = 512
 BINS = 4096
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     whole = F.floor(F.col("target") / F.col("source_size"))
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, whole).otherwise(0).cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = materialize(plan, "mix-plan")
-    on = lambda small: sized.alias("d").join(bounded(small.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    on = lambda small: sized.alias("d").join((bounded(small) if seen(small) else small).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
     # The stratum of documents that hold much of their source: fewer than LONG_SHARE in each.
     planned = on(plan)
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     )
 
     # The other stratum: two histograms narrow the cut to one bin of 1 / BINS**2.
-    bounds = plan.select("source", "source_size", F.col("short_rest").alias("rest"), "short_size", F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("before"))
+    bounds = bounded(plan).select("source", "source_size", F.col("short_rest").alias("rest"), "short_size", F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("before"))
     width = 1
     for _ in range(2):
         inside = (F.col("u") * width).cast("long") == F.col("bin")
@@ -112,8 +112,8 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     )
 
     kept = docs.select(*[c for c in docs.columns if c not in OUTPUTS or c in (id_col, text_col, source_col)])
-    plan = plan.select([F.col(c).alias(f"__mix_{c}") for c in plan.columns])
-    final = kept.withColumn("size", word_count(F.col(text_col))).join(bounded(plan), F.col(source_col).eqNullSafe(F.col("__mix_source")))
+    plan = bounded(plan).select([F.col(c).alias(f"__mix_{c}") for c in plan.columns])
+    final = kept.withColumn("size", word_count(F.col(text_col))).join(plan, F.col(source_col).eqNullSafe(F.col("__mix_source")))
     cut = F.when(F.col("size") * LONG_SHARE > F.col("__mix_source_size"), F.col("__mix_long_cut")).otherwise(F.col("__mix_short_cut"))
     copies = (F.col("__mix_whole") + (uniform(F.col(id_col), seed) <= cut).cast("long")).alias("copies")
     final = final.select(*kept.columns, "size", F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), copies)
