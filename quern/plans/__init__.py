@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("matrix", "markers", "tables", "benchmarks", "sequences", "sources")
+MODULES = ("matrix", "markers", "tables", "benchmarks", "sequences", "sources", "fits")
 
 
 def all_queries() -> dict:

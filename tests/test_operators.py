@@ -429,3 +429,57 @@ def test_registry(spark, cells):
     with pytest.raises(RuntimeError):
         mine.activate("double", strict=True)
     assert threads(99) == 16 and threads(2) == 2 and threads() == 4
+
+
+def test_fits(spark):
+    from quern.operators import fits
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=400)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(0.5 + 2 * x)))).astype(int)
+    df = spark.createDataFrame([(1, int(b), 1.0, float(a)) for a, b in zip(x, y, strict=True)] + [(2, 1, 1.0, 5.0), (2, 0, 1.0, -5.0)], "col_id long, y int, one double, x double")
+    got = {(r.col_id, r.term): r.coefficient for r in fits.bayes_logistic(df, ["one", "x"]).collect()}
+    assert got[1, "x"] == pytest.approx(2, abs=0.5) and 0 < got[2, "x"] < 5
+    t = np.sort(rng.uniform(0, 1, 150))
+    c = rng.poisson(np.exp(1 + 2 * t))
+    r = fits.smooth_counts(spark.createDataFrame([(1, float(a), float(b), 0.0) for a, b in zip(t, c, strict=True)], "col_id long, t double, y double, offset double")).first()
+    assert r.start == pytest.approx(1, abs=0.5) and r.end == pytest.approx(3, abs=0.4)
+
+
+def test_spots(spark):
+    from quern.operators import fits
+
+    profiles = {"a": [90, 5, 5, 1, 1], "b": [1, 80, 1, 10, 8], "c": [1, 1, 1, 1, 96]}
+    ref = spark.createDataFrame([(f"g{i}", k, float(v)) for k, p in profiles.items() for i, v in enumerate(p)], "gene string, type string, mean double")
+    rng = np.random.default_rng(3)
+    mix = {1: np.array(profiles["a"]) * 10, 2: np.array(profiles["a"]) * 6 + np.array(profiles["c"]) * 4}
+    counts = spark.createDataFrame([(s, f"g{i}", float(rng.poisson(v))) for s, p in mix.items() for i, v in enumerate(p)], "spot_id long, gene string, count double")
+    got = {r.spot_id: r for r in fits.deconvolve_spots(counts, ref).collect()}
+    assert (got[1].first_type, got[1]["class"]) == ("a", "singlet")
+    assert (got[2].first_type, got[2].second_type, got[2]["class"]) == ("a", "c", "doublet_certain") and got[2].weight == pytest.approx(0.6, abs=0.05)
+
+
+def test_curve_and_layout(spark):
+    from quern.operators import fits
+
+    a = np.linspace(0, np.pi, 120)
+    rng = np.random.default_rng(4)
+    pts = np.column_stack([np.cos(a), np.sin(a)]) + rng.normal(0, 0.02, (120, 2))
+    got = fits.principal_curve(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(pts)], "id long, v array<double>")).orderBy("id").collect()
+    lam = np.array([r["lambda"] for r in got])
+    assert abs(np.corrcoef(lam, a)[0, 1]) > 0.97 and np.mean([r.distance for r in got]) < 0.15
+    edges = [(i, j, 1.0) for b in (0, 20) for i in range(b, b + 15) for j in range(i + 1, b + 15)]
+    xy = {r.node: np.array([r.x, r.y]) for r in fits.layout(spark.createDataFrame(edges, "src long, dst long, weight double"), 150).collect()}
+    inside = np.mean([np.linalg.norm(xy[i] - xy[j]) for i, j, _ in edges])
+    assert inside < 0.5 * np.linalg.norm(np.mean([xy[i] for i in range(15)], 0) - np.mean([xy[i] for i in range(20, 35)], 0))
+
+
+def test_simulated_counts(spark):
+    from quern.operators import fits
+
+    got = fits.simulate_counts(spark.range(3000).selectExpr("id as row_id", "1.0D as depth"), spark.createDataFrame([(0, 0.5), (1, 4.0), (2, 30.0)], "col_id long, mean double"))
+    for r in got.groupBy("col_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") ** 2).alias("q")).collect():
+        mean = r.s / 3000
+        assert mean == pytest.approx([0.5, 4, 30][r.col_id], rel=0.06) and r.q / 3000 - mean**2 == pytest.approx(mean, rel=0.12)
+    model = fits.offset_models(got, spark.range(3000).selectExpr("id as row_id", "34.5D as base"), 500, 10).collect()
+    assert len(model) == 3 and all(r.theta > 0 for r in model)
