@@ -483,3 +483,12 @@ def test_simulated_counts(spark):
         assert mean == pytest.approx([0.5, 4, 30][r.col_id], rel=0.06) and r.q / 3000 - mean**2 == pytest.approx(mean, rel=0.12)
     model = fits.offset_models(got, spark.range(3000).selectExpr("id as row_id", "34.5D as base"), 500, 10).collect()
     assert len(model) == 3 and all(r.theta > 0 for r in model)
+
+
+def test_command_line(capsys):
+    from quern.__main__ import main
+
+    assert main(["list", "markers"]) == 0 and "rank_sums" in capsys.readouterr().out
+    assert main(["inspect", "row_sums"]) == 0 and '"G1"' in capsys.readouterr().out
+    assert main(["queries"]) == 0 and "rank_genes_groups" in capsys.readouterr().out
+    assert main([]) == 2
