@@ -275,18 +275,22 @@ def clamp(values: DataFrame, most: float) -> DataFrame:
 def smooth(values: DataFrame, order: DataFrame, window: int = 101) -> DataFrame:
     """Triangular moving average of each row along the columns of a block, with weights cut at the ends and renormalised.
 
-    order: (col_id, block, place), places gapless from 1. A window below 2 changes nothing.
+    order: (col_id, block, place), places whole numbers; the result has the cells of values. A window below 2 changes nothing.
     """
     placed = values.join(F.broadcast(order), "col_id")
     if window < 2:
         return placed.select("row_id", "col_id", "value")
     tail = (window - 1) // 2
-    # Each value is sent to the places it reaches, weighted; a sum by place makes the average. No self-join.
-    reach = F.explode(F.sequence(F.col("place") - tail, F.col("place") + tail))
-    weight = F.lit(tail + 1) - F.abs(F.col("place") - F.col("to"))
-    sent = placed.withColumn("to", reach).groupBy("row_id", "block", "to").agg((F.sum(F.col("value") * weight) / F.sum(weight)).alias("value"))
-    back = order.select("block", F.col("place").alias("to"), "col_id")
-    return sent.join(F.broadcast(back), ["block", "to"]).select("row_id", "col_id", "value")
+    own = W.partitionBy("row_id", "block").orderBy("place")
+    left, right = own.rangeBetween(-tail, 0), own.rangeBetween(1, tail)
+    i = F.col("place")
+
+    def weighted(x: Column) -> Column:
+        """The sum of x by weight tail + 1 - distance, from plain and place-weighted sums on either side: one sort, one pass."""
+        side = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0.0))
+        return (tail + 1 - i) * side(x, left) + side(x * i, left) + (tail + 1 + i) * side(x, right) - side(x * i, right)
+
+    return placed.select("row_id", "col_id", (weighted(F.col("value")) / weighted(F.lit(1.0))).alias("value"))
 
 
 @operator("M18", group="matrix")

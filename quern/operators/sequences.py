@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators.order import row_numbers
 from quern.registry import operator
 
 
@@ -21,10 +22,7 @@ def run_lengths(df: DataFrame, by: list[str], place: str, state: str, least_rows
     marked = df.withColumn("__size", F.count("*").over(own)).where(F.col("__size") >= least_rows)
     island = F.row_number().over(own.orderBy(place)) - F.row_number().over(W.partitionBy(*by, state).orderBy(place))
     runs = marked.withColumn("__i", island).groupBy(*by, state, "__i").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
-    # Numbers over all groups: a few rows for each group are summed in one place, the rest within groups.
-    sizes = runs.groupBy(*by).agg(F.count("*").alias("__k")).withColumn("__before", F.sum("__k").over(W.orderBy(*by).rowsBetween(W.unboundedPreceding, -1)))
-    numbered = runs.withColumn("__n", F.row_number().over(own.orderBy("first"))).join(sizes, by)
-    return numbered.select(*by, state, "first", "last", "n", (F.coalesce("__before", F.lit(0)) + F.col("__n")).alias("region"))
+    return row_numbers(runs.drop("__i"), [*[F.col(c).asc() for c in by], F.col("first").asc()], "region")
 
 
 @operator("W13", "S1", group="sequences")

@@ -492,3 +492,14 @@ def test_command_line(capsys):
     assert main(["inspect", "row_sums"]) == 0 and '"G1"' in capsys.readouterr().out
     assert main(["queries"]) == 0 and "rank_genes_groups" in capsys.readouterr().out
     assert main([]) == 2
+
+
+def test_row_numbers(spark):
+    from pyspark.sql import Window as W
+
+    from quern.operators.order import row_numbers
+
+    df = spark.range(5000).select("id", (F.xxhash64("id") % 50).alias("k")).repartition(7)
+    want = df.withColumn("n", F.row_number().over(W.orderBy(F.desc("k"), "id")))
+    assert sorted(map(tuple, row_numbers(df, [F.desc("k"), F.asc("id")], "n").collect())) == sorted(map(tuple, want.collect()))
+    assert row_numbers(df.limit(0), [F.asc("id")], "n").collect() == []
