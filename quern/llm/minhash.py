@@ -213,3 +213,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All pairs that share a shingle, and what they reach; for small tables.
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS i FROM w),
+g AS (SELECT doc_id, n, i, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) AS s FROM p),
+s AS (SELECT DISTINCT doc_id, s FROM g WHERE i <= greatest(n - 5, 0)), k AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b WHERE 100 * c >= 75 * (x.k + y.k - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(k, 0) AS n_shingles, least(w.doc_id, coalesce(b, w.doc_id)) AS component_id, w.doc_id <= coalesce(b, w.doc_id) AS kept
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id LEFT JOIN reach ON w.doc_id = a
+"""
