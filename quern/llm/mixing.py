@@ -10,7 +10,7 @@ changes the probability of the rest, so that a few very long documents cannot pu
 the other stratum is found from two histograms of u (4096 bins each) by source and an exact ranking of the one bin left,
 so no task ever ranks a source.
 
-Null or blank texts have size 0 and take nothing. A null source is a source of its own, the last. Rows that repeat a
+Null or blank texts have size 0 and take nothing, whatever their copies. A null source is a source of its own, the last. Rows that repeat a
 doc_id are taken or left together. An empty table gives an empty one. Columns of the input named like one of the
 outputs (size, source_size, target, copies, taken) are replaced.
 """
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     plan = bounded(plan).select([F.col(c).alias(f"__mix_{c}") for c in plan.columns])
     final = kept.withColumn("size", word_count(F.col(text_col))).join(plan, F.col(source_col).eqNullSafe(F.col("__mix_source")))
     cut = F.when(F.col("size") * LONG_SHARE > F.col("__mix_source_size"), F.col("__mix_long_cut")).otherwise(F.col("__mix_short_cut"))
-    copies = (F.col("__mix_whole") + (uniform(F.col(id_col), seed) <= cut).cast("long")).alias("copies")
+    copies = F.least(F.col("__mix_whole") + (uniform(F.col(id_col), seed) <= cut).cast("long"), F.lit(most).cast("long")).alias("copies")
     final = final.select(*kept.columns, "size", F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), copies)
     return final.withColumn("taken", F.col("copies") * F.col("size"))
 
@@ -152,5 +152,5 @@ longs AS (SELECT source, CAST(sum(size) AS BIGINT) AS got FROM rested WHERE is_l
 drawn AS (
   SELECT r.*, CASE WHEN is_long THEN reached - size / 2 <= rest ELSE rest - coalesce(got, 0) > 0 AND reached - size / 2 <= rest - coalesce(got, 0) END AS is_drawn
   FROM rested r LEFT JOIN longs l ON r.source IS NOT DISTINCT FROM l.source)
-SELECT doc_id, size, source_size, target, (whole + CAST(is_drawn AS BIGINT)) * size AS taken, whole + CAST(is_drawn AS BIGINT) AS copies FROM drawn
+SELECT doc_id, size, source_size, target, (whole + CAST(is_drawn AS BIGINT)) * size AS taken, least(whole + CAST(is_drawn AS BIGINT), 3) AS copies FROM drawn
 """
