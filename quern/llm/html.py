@@ -34,6 +34,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Words of class and id, split at marks and case, that name what is no part of an article.
 NOISE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar aside nav navbar navigation menu breadcrumb breadcrumbs header masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist reply replies disqus respond pager pagination skip toolbar widget widgets copyright".split())
 TEXTUAL = frozenset("article main content body post story entry text".split())
+#: Words before one of NOISE that say something about the page instead, words of frames, and noise that no frame excuses.
+ABOUT = frozenset("has with no without is".split())
+LAYOUT = frozenset("wrap wrapper container layout page site grid".split())
+HARD = frozenset("comment comments reply replies ad ads advert related promo cookie".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 #: An element that CLOSES does not look beyond.
 BORDER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select", "datalist"}}
@@ -66,10 +70,12 @@ def _traits(tag: str, attributes: str) -> tuple[bool, float]:
             elif name == "style":
                 dropped |= "display:none" in value.replace(" ", "").lower()
             elif tag not in ("html", "body"):
-                words = {x.lower() for x in PIECE.findall(value)}
-                noisy = words & NOISE
-                dropped |= bool(noisy) and not (tag in ("article", "main") and not noisy & {"comment", "comments", "reply", "ad", "ads", "related", "promo"})
-                bonus += 10 * bool(words & TEXTUAL)
+                words = [x.lower() for x in PIECE.findall(value)]
+                noisy = {w for before, w in zip(["", *words], words, strict=False) if w in NOISE and before not in ABOUT}
+                textual = not TEXTUAL.isdisjoint(words)
+                frame = tag in ("article", "main") or textual and not LAYOUT.isdisjoint(words)
+                dropped |= bool(noisy) and not (frame and noisy.isdisjoint(HARD))
+                bonus += 10 * textual
     return dropped, bonus
 
 
