@@ -213,6 +213,8 @@ PAGES = {
     "": "", "just text &lt;b&gt; &eacute;": "just text <b> é", "<p>": "", "a < b > c": "a < b > c",
     "<article>cut off &amp; here <a hre": "cut off & here", "<article><p>x &am": "x &am", "</p></div>stray": "stray",
     "<table><tr><td>a</td><td>b</td></tr><tr><td>c</table>": "a b\n\nc",
+    "<div class='content-sidebar-wrap has-sidebar'><p>Some text, long enough to count, here.</p><div class='sidebar'>side text, long enough to count</div></div>": "Some text, long enough to count, here.",
+    "<div class='page no-comments'><p>Some text, long enough to count, here.</p><div class='comments-wrapper'><p>A comment, long enough to count, here.</p></div></div>": "Some text, long enough to count, here.",
     "<article><div class='cookie-notice'>We use cookies</div><p>Text\u00a0 here</p></article>": "Text here",
 }
 
