@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.workers import ship
+
 
 class Tables:
     """The tables of a folder by attribute, and the shapes that several queries start from."""
@@ -71,7 +73,11 @@ def query(*ids: str, sql: str | None = None) -> Callable:
             text = text.strip()
             if names:
                 text = f"WITH {shapes}, {text[5:]}" if text[:5].upper() == "WITH " else f"WITH {shapes} {text}"
-        QUERIES[fn.__name__] = Query(fn.__name__, lambda spark, folder: fn(Tables(spark, folder)), ids, text)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return fn(Tables(spark, folder))
+
+        QUERIES[fn.__name__] = Query(fn.__name__, run, ids, text)
         return fn
 
     return put

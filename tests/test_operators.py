@@ -503,3 +503,19 @@ def test_row_numbers(spark):
     want = df.withColumn("n", F.row_number().over(W.orderBy(F.desc("k"), "id")))
     assert sorted(map(tuple, row_numbers(df, [F.desc("k"), F.asc("id")], "n").collect())) == sorted(map(tuple, want.collect()))
     assert row_numbers(df.limit(0), [F.asc("id")], "n").collect() == []
+
+
+def test_ship(spark, monkeypatch, tmp_path):
+    from quern import workers
+
+    sent = []
+    monkeypatch.setattr(type(spark.sparkContext), "addPyFile", lambda self, path: sent.append(path))
+    monkeypatch.setattr(spark.sparkContext, "_quern_shipped", False, raising=False)
+    workers.ship(spark)
+    assert sent == []
+    monkeypatch.setenv("PYTHONPATH", "")
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr(spark.sparkContext, "_quern_shipped", False, raising=False)
+    workers.ship(spark)
+    workers.ship(spark)
+    assert len(sent) == 1 and sent[0].endswith("quern.zip")
