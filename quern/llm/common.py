@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from quern.workers import ship
+
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,7 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     """Have Spark pass Python workers BATCH_ROWS rows at a time, not 10,000, where nothing else has been set: rows hold
-    whole texts, and a worker shares its executor's memory with others."""
+    whole texts, and a worker shares its executor's memory with others. Workers get this package if they lack it."""
+    ship(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(BATCH_ROWS))
