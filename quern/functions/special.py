@@ -12,10 +12,14 @@ _TERMS = [(-1) ** n / (math.factorial(n) * (2 * n + 1)) for n in range(30)]
 
 def erfc(x: Column) -> Column:
     """The complementary error function of x >= 0: the power series of erf below 2, else a continued fraction."""
-    zero = F.lit(0.0)
-    series = F.aggregate(F.array(*[F.lit(w) for w in reversed(_TERMS)]), zero, lambda s, w: w + x * x * s)
-    fraction = F.aggregate(F.sequence(F.lit(22), F.lit(1), F.lit(-1)), x, lambda f, n: x + n / 2 / f)
-    return F.when(x < 2, 1 - F.lit(2 / math.sqrt(math.pi)) * x * series).otherwise(F.exp(-x * x) / math.sqrt(math.pi) / fraction)
+
+    def of(v: Column) -> Column:
+        series = F.aggregate(F.array(*[F.lit(w) for w in reversed(_TERMS)]), F.lit(0.0), lambda s, w: w + v * v * s)
+        fraction = F.aggregate(F.sequence(F.lit(22), F.lit(1), F.lit(-1)), v, lambda f, n: v + n / 2 / f)
+        return F.when(v < 2, 1 - F.lit(2 / math.sqrt(math.pi)) * v * series).otherwise(F.exp(-v * v) / math.sqrt(math.pi) / fraction)
+
+    # x may be a long expression: it is bound once, not evaluated at each step.
+    return F.element_at(F.transform(F.array(x), of), 1)
 
 
 def two_sided(z: Column) -> Column:
