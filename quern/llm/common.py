@@ -83,7 +83,7 @@ class WordHash(dict):
     """64-bit hashes of words, kept while they fit a bounded table."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -130,7 +130,7 @@ def gram_hashes(hashes: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
     return mix64((sums[k:] - sums[:-k]) * down[: n - k + 1])
 
 
-def batched(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+def batched(batches: Iterator[pa.RecordBatch], column: str, most: int = 3 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about so many bytes of the named column at most, so a worker's memory stays bounded."""
     for batch in batches:
         if not batch.num_rows:
