@@ -206,6 +206,37 @@ def test_packing_retrieves():
     assert np.mean([len(x) for x in by.values()]) < 1.5
 
 
+def test_packing_fills_windows_by_score():
+    """Short documents: a window goes on with lower scores, not with input order, while any are positive."""
+    rng = np.random.default_rng(2)
+    topics = [rng.integers(100, 40000, 50) for _ in range(8)]
+    ids = [np.r_[topics[i % 8][(o := rng.integers(0, 21)) : o + 29], 0].astype("<u4").tobytes() for i in range(544)]
+    by = defaultdict(set)
+    for d, _, _, seq, _ in packing.pack(ids):
+        by[seq].add(d % 8)
+    assert np.mean([len(x) for x in by.values()]) <= 2
+
+
+def test_packing_ranks_all_neighbours():
+    """Against BM25 by hand: every document that shares a term, in the order of the scores for all terms of the seed."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(100, 40000, 400)
+    docs = [np.r_[np.concatenate([base[(o := rng.integers(0, 380)) : o + 20] for _ in range(rng.integers(1, 9))]), 0].astype("<u4") for _ in range(120)]
+    index, unused = packing.Index(docs), rng.random(120) < 0.8
+    terms = [Counter(zip(d[:-1].tolist(), d[1:].tolist(), strict=True)) for d in docs]
+    df = Counter(t for x in terms for t in x)
+    sizes = np.array([len(d) - 1 for d in docs])
+    for seed in range(0, 120, 7):
+        score = np.zeros(120)
+        for i, x in enumerate(terms):
+            for t in x.keys() & terms[seed].keys():
+                if df[t] > 1:
+                    score[i] += np.log1p((120 - df[t] + 0.5) / (df[t] + 0.5)) * x[t] * 2.2 / (x[t] + 1.2 * (0.25 + 0.75 * sizes[i] / sizes.mean()))
+        got = list(index.neighbours(seed, unused))
+        assert sorted(got) == [i for i in range(120) if score[i] and unused[i]] and len(got) > 16
+        assert np.all(np.diff(score[got]) < 1e-4)
+
+
 PAGES = {
     "<html><head><title>t</title></head><body><nav><a href=x>menu</a></nav><article><h1>Head</h1><p>One,\n two &amp; three.<p>Four <b>five<br>six</b></article><footer>f</footer>": "Head\n\nOne, two & three.\n\nFour five six",
     "<body><header>top</header><div class='sidebar'>side, bar, text that is long enough</div><div id=main><p>A paragraph, long enough to be scored, surely.</p><p>And a second, also long enough to be scored.</p><ul><li>x<li>y</ul></div><div class=comments><p>A comment, which is long too, as comments are.</p></div><form>f</form><aside>a</aside></body>": "A paragraph, long enough to be scored, surely.\n\nAnd a second, also long enough to be scored.\n\nx\n\ny",
