@@ -29,7 +29,7 @@ from quern.llm.common import batched, raw_texts, small_batches
 
 WINDOW, END = 1024, 0
 #: A shard holds so many documents or tokens at most (one document may exceed it).
-SHARD_DOCS, SHARD_TOKENS, K1, B = 2048, 1_500_000, 1.2, 0.75
+SHARD_DOCS, SHARD_TOKENS, K1, B = 4096, 3_000_000, 1.2, 0.75
 #: The ranks of byte_bpe_50k.json: the same ids, at four times the speed.
 TOKENIZER = "byte_bpe_50k.tiktoken"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
