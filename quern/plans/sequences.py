@@ -197,7 +197,7 @@ def modularity(t):
 
 @query("N9", "N4")
 def label_communities(t):
-    return g.label_communities(g.symmetrize(g.fuzzy_weights(_knn(t))), 3)
+    return g.label_communities(g.symmetrize(g.fuzzy_weights(_knn(t))))
 
 
 POINTS = "pt AS (SELECT vec_id AS id, label, 10e0 * embedding[1] AS x, 10e0 * embedding[2] AS y, 10e0 * embedding[3] AS z FROM embeddings)"

@@ -5,8 +5,10 @@ import random
 import numpy as np
 import pytest
 
-from quern.operators import fits, sequences
+from quern.operators import fits, geometry, sequences
 from quern.plans import all_queries
+from quern.plans.base import Tables
+from quern.plans.sequences import _knn, _vectors
 
 QUERIES = all_queries()
 
@@ -52,3 +54,26 @@ def test_implicit_diffusion_takes_every_supplier(spark, tables):
     for _ in range(20):
         x = np.linalg.solve(a, x)
     assert np.allclose(got, x, atol=1e-6)
+
+
+def test_curve_and_layout_run_with_defaults(spark, tables):
+    t = Tables(spark, tables[0])
+    want = {r.id: r.distance for r in fits.principal_curve(_vectors(t)).collect()}
+    assert {r.id: r.distance for r in QUERIES["principal_curve"].run(spark, tables[0]).collect()} == pytest.approx(want, abs=1e-4)
+    want = {r.node: r.x for r in fits.layout(geometry.symmetrize(geometry.fuzzy_weights(_knn(t)))).collect()}
+    assert {r.node: r.x for r in QUERIES["layout"].run(spark, tables[0]).collect()} == pytest.approx(want, abs=1e-6)
+
+
+def test_offset_models_runs_with_defaults(spark, data, monkeypatch):
+    given = []
+    run = fits.offset_models
+    monkeypatch.setattr(fits, "offset_models", lambda *a, **b: given.append((a[2:], b)) or run(*a, **b))
+    QUERIES["offset_models"].run(spark, str(data))
+    assert given == [((), {})]
+
+
+def test_communities_settle(spark):
+    """Along a path whose weights fall, a label moves on by one node a round."""
+    path = [(i, i + 1, 100.0 - i) for i in range(14)]
+    labels = geometry.label_communities(spark.createDataFrame(path, "src long, dst long, weight double"))
+    assert {r.label for r in labels.collect()} == {1}
