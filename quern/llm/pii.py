@@ -43,6 +43,8 @@ PATTERNS = {
     "date": r"(?<![A-Za-z0-9_])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![A-Za-z0-9_])",
 }
 ANY = "|".join(PATTERNS.values())
+#: Found in every text in which a pattern is: all but keys and secrets hold a digit or @.
+GUARD = r"[0-9@]|AKIA|[=:]\s{0,2}[\"']?[0-9a-f]{16}"
 
 
 def _quoted(s: str) -> str:
@@ -173,7 +175,7 @@ def pseudonymize(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFr
     """docs with the personal data in text_col replaced, n_pii (finds) and pii_kinds (their kinds, sorted, joined by commas)."""
     kept = docs.select(*[c for c in docs.columns if c not in ("n_pii", "pii_kinds") or c == text_col])
     text = F.col(text_col)
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    found = F.when(text.rlike(GUARD), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     staged = kept.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
     staged = staged.withColumn("__new", F.when(F.size("__found") > 0, F.expr(f"transform(__found, x -> {Sql(key).replaced()})")))
     pieces = F.split(text, ANY, -1)
