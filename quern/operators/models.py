@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions.special import chi2_tail, lgamma
 from quern.operators.matrix import gram, n_rows
 from quern.registry import operator
+from quern.scratch import materialize, release
 
 #: Columns of a matrix whose products one driver may hold (2,000 x 2,000 doubles are 32 MB).
 MOST_COLUMNS = 2000
@@ -302,19 +303,22 @@ def decontaminate(cells: DataFrame, clusters: DataFrame, rounds: int = 10, delta
 
     clusters: (row_id, z). Each round is two aggregates over the stored counts; parameters are by row or by (column, cluster).
     """
-    joined = cells.join(clusters, "row_id")
+    joined = materialize(cells.join(clusters, "row_id").select("row_id", "z", "col_id", "value"), "counts")
     theta = clusters.select("row_id", F.lit(delta[0] / sum(delta)).alias("theta"))
-    by = joined.groupBy("z", "col_id").agg(F.sum("value").alias("own"))
+    by, last = joined.groupBy("z", "col_id").agg(F.sum("value").alias("own")), None
     for _ in range(rounds):
+        by = materialize(by, "rates")
         total = by.groupBy("z").agg(F.sum("own").alias("t"))
         grand = by.groupBy("col_id").agg(F.sum("own").alias("g"))
         whole = by.agg(F.sum("own")).scalar()
-        rates = by.join(F.broadcast(total), "z").join(grand, "col_id").withColumn("w", whole).select("z", "col_id", (F.col("own") / F.col("t") + 1e-9).alias("phi"), ((F.col("g") - F.col("own")) / (F.col("w") - F.col("t") + 1e-9) + 1e-9).alias("eta"))
+        rates = by.join(total, "z").join(grand, "col_id").withColumn("w", whole).select("z", "col_id", (F.col("own") / F.col("t") + 1e-9).alias("phi"), ((F.col("g") - F.col("own")) / (F.col("w") - F.col("t") + 1e-9) + 1e-9).alias("eta"))
         split = joined.join(rates, ["z", "col_id"]).join(theta, "row_id")
         share = F.col("theta") * F.col("phi") / (F.col("theta") * F.col("phi") + (1 - F.col("theta")) * F.col("eta"))
-        split = split.select("row_id", "z", "col_id", "value", (F.col("value") * share).alias("native"))
+        # Written once a round: both parameters are aggregates of it, and no plan holds more than one round.
+        split = materialize(split.select("row_id", "z", "col_id", "value", (F.col("value") * share).alias("native")), "split")
+        release(by, *([last] if last is not None else []))
         theta = split.groupBy("row_id").agg(((F.sum("native") + delta[0]) / (F.sum("value") + sum(delta))).alias("theta"))
-        by = split.groupBy("z", "col_id").agg(F.sum("native").alias("own"))
+        by, last = split.groupBy("z", "col_id").agg(F.sum("native").alias("own")), split
     return theta.select("row_id", (1 - F.col("theta")).alias("contamination"))
 
 

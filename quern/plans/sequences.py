@@ -356,7 +356,7 @@ def dispersion_fit(t):
 
 @query("E25", "G27")
 def decontaminate(t):
-    return md.decontaminate(t.panel(), t.panel_obs().select("row_id", (F.col("row_id") % 3).alias("z")), 3).withColumn("contamination", r("contamination", 5))
+    return md.decontaminate(t.panel(), t.panel_obs().select("row_id", (F.col("row_id") % 3).alias("z"))).withColumn("contamination", r("contamination", 5))
 
 
 @query("N16")

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from quern.plans.base import query, r
+from quern.scratch import scratch_path
 from quern.sources import readers, writers
 
 
 def scratch(spark, name: str) -> str:
     """A new path in the folder that driver and executors share."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quern-")
-    return f"{shared.rstrip('/')}/quern-{uuid.uuid4().hex[:12]}-{name}"
+    return scratch_path(spark, name)
 
 
 @query("SNK1", "SRC1", sql="SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")

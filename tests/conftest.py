@@ -1,3 +1,4 @@
+import gc
 import os
 import sys
 from pathlib import Path
@@ -16,7 +17,7 @@ def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]")
         .appName("quern-tests")
-        .config("spark.driver.memory", "4g")
+        .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -31,3 +32,16 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def data():
     return Path(os.environ.get("QUERN_TESTDATA", "/root/testdata/sf0.001"))
+
+
+@pytest.fixture(scope="module", autouse=True)
+def tidy():
+    """After each module: no cached tables, and shuffles and broadcasts of plans that are gone are dropped."""
+    yield
+    from pyspark.sql import SparkSession
+
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.catalog.clearCache()
+        gc.collect()
+        session._jvm.System.gc()
