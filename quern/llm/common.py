@@ -1,38 +1,25 @@
-"""Shared plumbing: scratch tables in the cluster's shared folder, size-checked broadcasts, word splitting and hashing."""
+"""Shared plumbing of the corpus operators: batches of bounded bytes, word splitting and hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from quern.scratch import bounded, materialize, release, seen, shared_folder  # noqa: F401
 from quern.workers import ship
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of a table of ids or digests (some 50 bytes each) that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 400_000
 BATCH_ROWS = 1000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; a temporary one only where that is unset."""
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.quern.scratch", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.quern.scratch", folder)
-    return folder.rstrip("/")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Have Spark pass Python workers BATCH_ROWS rows at a time, not 10,000, where nothing else has been set: rows hold
     whole texts, and a worker shares its executor's memory with others. Workers get this package if they lack it."""
@@ -42,39 +29,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def materialize(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage, and outlives lost executors.
-
-    The rows, and what other aggregates are asked for, are counted as they are written: see seen().
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quern-{uuid.uuid4().hex[:12]}-{name}"
-    watch = Observation()
-    df.observe(watch, F.count(F.lit(1)).alias("rows"), *[m.alias(k) for k, m in metrics.items()]).write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quern = {"path": path} | watch.get
-    return out
-
-
-def seen(df: DataFrame) -> dict:
-    """The path, rows and metrics of a table of materialize()."""
-    return getattr(df, "_quern", {})
-
-
-def release(df: DataFrame) -> None:
-    """Delete a table of materialize() that no later plan reads."""
-    if path := seen(df).get("path"):
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has been counted to hold no more than so many rows; else left to a shuffled join."""
-    held = seen(df)["rows"] if seen(df) else df.limit(rows + 1).count()
-    return F.broadcast(df) if held <= rows else df
-
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
