@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from quern.llm import minhash, mixing, packing, pii, quality
 from quern.llm.common import bounded, materialize
 
-KEY = pii.DEMO_KEY
 #: SQL cannot express the classifier, the pseudonyms and the packing; the stages are tested against brute force.
 ORACLE_SQL = None
 
@@ -34,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(docs, key=KEY).select(docs.columns)
+    return pii.pseudonymize(docs, key=pii.session_key(spark)).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
