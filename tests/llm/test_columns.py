@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import html, media, mixing, packing, pii, quality, urls
 from tests.llm.brute_pii import Brute
@@ -51,18 +52,33 @@ def test_mix_targets(spark):
         rest -= sum(3 * size[s] for s in over)
         free -= over
     assert target == pytest.approx(want)
-    assert all(abs(taken[s] - target[s]) <= max(0.01 * target[s], most[s] / 2) for s in size)
+    assert all(abs(target[s] - taken[s]) <= max(0.01 * target[s], 1e-5 + most[s] / 2) for s in size)
 
 
-def test_mix_matches_probability(spark):
-    """Documents of a source are drawn at about one rate, whatever their size."""
-    rows = [(i, "w " * (1 + i % 30), f"s{i % 3}") for i in range(6000)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
-    rate = defaultdict(list)
+def test_mix_inclusion_follows_the_measure(spark):
+    """Probabilities differ by document: a source's rates are in proportion to the binary digits of the sizes, and the order
+    of the odds ratio is not that of u."""
+    rows = [(i, "w " * (1, 6, 40)[i % 3], "abc"[i % 2]) for i in range(12000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).withColumn("u", mixing.uniform(F.col("doc_id"), "mix-1")).collect()
+    rate, drawn, left = defaultdict(list), defaultdict(list), defaultdict(list)
+    for r in got:
+        rate[r.source, r["size"]].append(r.copies)
+        (drawn if r.copies else left)[r.source, r["size"]].append(r.u)
+    assert all(np.mean(rate["a", n]) / np.mean(rate["a", 1]) == pytest.approx(m, rel=0.15) for n, m in ((6, 3), (40, 6)))
+    assert all(max(drawn["a", n]) < min(left["a", n]) for n in (1, 6, 40))
+    assert max(drawn["a", 40]) > 2 * min(left["a", 1])
+
+
+def test_mix_near_targets(spark, data):
+    """Every source of the table is within 2 % of its target, or within its smallest document that could be taken once more."""
+    got = mixing.mix(spark.read.parquet(str(data.parent / "sf0.01/documents.parquet"))).select("source", "size", "target", "copies", "taken").collect()
+    by = defaultdict(list)
     for r in got:
-        rate[r.source, r["size"] > 15].append(r.copies)
-    for s in ("s0", "s1", "s2"):
-        assert np.mean(rate[s, True]) == pytest.approx(np.mean(rate[s, False]), abs=0.06)
+        by[r.source].append(r)
+    for rows in by.values():
+        off = rows[0].target - sum(r.taken for r in rows)
+        least = min((r["size"] for r in rows if r["size"] and r.copies < 3), default=0)
+        assert abs(off) <= max(0.02 * rows[0].target, least / 2)
 
 
 def luhn(s):
