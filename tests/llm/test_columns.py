@@ -208,6 +208,23 @@ def test_urls(spark):
     assert urls.judge(df.limit(0), none).collect() == []
 
 
+def test_urls_many_hits(spark, monkeypatch):
+    """Where what the join finds is too much to broadcast, the same comes out, by a join of the pages that may hit alone."""
+    listed = spark.range(60).selectExpr("concat('h', id) as host", "'/' as path", "'block' as verdict")
+    pages = spark.range(400).selectExpr("id", "concat('http://h', id % 80, if(id % 9 = 0, '', '/')) as url").union(spark.range(50).selectExpr("id", "null"))
+    want = sorted(map(str, urls.judge(pages, listed).collect()))
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", 3)
+    assert sorted(map(str, urls.judge(pages, listed).collect())) == want
+
+
+def test_urls_plan(spark, data):
+    """No Python in the lineage, and no exchange of pages."""
+    df = urls.op10_url_filter(spark, str(data))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and plan.count("Exchange") == plan.count("BroadcastExchange")
+    assert "PythonRDD" not in df._jdf.queryExecution().toRdd().toDebugString()
+
+
 def test_bloom_has_no_false_negatives(spark):
     listed = spark.range(2000).selectExpr("concat('h', id) as host", "concat('/', id % 7) as path", "'block' as verdict")
     pages = listed.selectExpr("concat('http://', host, path) as url").union(spark.range(2000).selectExpr("concat('http://g', id, '/') as url"))
