@@ -17,16 +17,15 @@ from quern.workers import ship
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-BATCH_ROWS = 1000
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Have Spark pass Python workers BATCH_ROWS rows at a time, not 10,000, where nothing else has been set: rows hold
-    whole texts, and a worker shares its executor's memory with others. Workers get this package if they lack it."""
+    """Have Spark pass Python workers BATCH_BYTES at a time where nothing else has been set, whatever the rows hold: a worker
+    shares its executor's memory with others. Workers get this package if they lack it."""
     ship(spark)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
 def word_count(text: Column) -> Column:

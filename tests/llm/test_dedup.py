@@ -131,6 +131,45 @@ def test_repeats_passages(spark):
     check_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeats_of_blocks(spark, seed):
+    """Documents of shared blocks in random order: most windows stand in an earlier document other than the anchor's first holder."""
+    rng = random.Random(seed)
+    blocks = [words(seed * 100 + i, rng.choice((8, 14, 19, 25, 31, 40))) for i in range(14)]
+    rows = [(i, " ".join(rng.choice(blocks) for _ in range(rng.randint(2, 14)))) for i in rng.sample(range(500), 90)]
+    check_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_repeats_extend():
+    rng = random.Random(5)
+    for _ in range(200):
+        a = [rng.choice([b"x", b"y"]) for _ in range(rng.randint(20, 150))]
+        off = rng.randint(-5, 5)
+        b = {i - off: w for i, w in enumerate(a) if rng.random() < 0.99}
+        holder = substrings.Holder()
+        for n in range(4):
+            holder.parts[n] = [b.get(i, b"?") for i in range(n * substrings.SEGMENT, (n + 1) * substrings.SEGMENT)]
+        at = rng.randint(0, len(a) - 20)
+        same = [holder[i - off] == w for i, w in enumerate(a)]
+        begin, end = substrings.extend(a, holder, at, off)
+        if not all(same[at : at + 20]):
+            assert begin == end
+            continue
+        assert all(same[begin:end]) and begin <= at and end >= at + 20
+        assert (begin == 0 or not same[begin - 1]) and (end == len(a) or not same[end])
+
+
+def test_repeats_make_no_row_by_window(spark, monkeypatch):
+    """A passage that many documents share is found by its anchors: no window goes on by itself."""
+    made = {}
+    kept = substrings.materialize
+    monkeypatch.setattr(substrings, "materialize", lambda df, name: made.setdefault(name, kept(df, name)))
+    passage = words(9, 150)
+    rows = [(i, f"{words(200 + i, 40)} {passage} {words(900 + i, 40)}") for i in range(40)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.n_removed for r in got} == {0, 150} and made["repeat-windows"]._quern["rows"] < 40 * 10
+
+
 def brute_vectors(rows, threshold=0.98):
     unit, n, parent = [], [0] * len(rows), {r[0]: r[0] for r in rows if r[0] is not None}
     for i, v, label in rows:
