@@ -130,4 +130,27 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
+def array_groups(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The same as arrays by column name; cheaper where groups are small."""
+    held: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in {*keys, *columns}}
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            change[1:] |= now[k][1:] != now[k][:-1]
+        starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        if held is not None and all(held[k][0] == now[k][0] for k in keys):
+            now = {c: np.concatenate([held[c], v]) for c, v in now.items()}
+            starts = [0, *(s + len(held[keys[0]]) for s in starts[1:])]
+        elif held is not None:
+            yield held
+        for a, b in zip(starts[:-2], starts[1:-1], strict=True):
+            yield {c: v[a:b] for c, v in now.items()}
+        held = {c: v[starts[-2] :] for c, v in now.items()}
+    if held is not None:
+        yield held
+
+
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

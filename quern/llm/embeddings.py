@@ -22,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quern.llm.common import groups_of, materialize, small_batches
+from quern.llm.common import array_groups, materialize, small_batches
 from quern.llm.components import components
 
 THRESHOLD, MISS, BLOCK = 0.98, 1e-6, 1024
@@ -46,7 +47,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _hashed(bits: int, tables: int):
+def _hashed(bits: int, tables: int, kind: type):
     power = np.left_shift(np.uint64(1), np.arange(bits, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +74,7 @@ def _hashed(bits: int, tables: int):
                 for (i, label, v), sign in zip(rows, values, strict=True):
                     ids.append(i)
                     labels.append(label)
-                    vectors.append(v.tobytes())
+                    vectors.append(v.astype(kind).tobytes())
                     keys.append(xxhash.xxh3_128_digest(f"{label}:".encode() + vectors[-1]))
                     signs.append(sign.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(keys, pa.binary()), pa.array(vectors, pa.binary()), pa.array(signs, pa.binary())], names=["id", "label", "key", "vector", "signs"])
@@ -92,25 +93,42 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         at = low
 
 
-def _compare(threshold: float, tables: int):
+def _met(signs: np.ndarray, i: np.ndarray, j: np.ndarray, turn: int) -> np.ndarray:
+    """Of pairs, whether they share a bucket of a table before this one."""
+    met = np.zeros(len(i), bool)
+    for start in range(0, len(i), 65536):
+        at = slice(start, start + 65536)
+        met[at] = (signs[i[at], :turn] == signs[j[at], :turn]).any(1)
+    return met
+
+
+def _compare(threshold: float, tables: int, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups_of(batches, ["bucket", "pair"]):
-            turn = group.column("turn")[0].as_py()
-            own, ids, copies = (group.column(c).to_numpy() for c in ("own", "id", "copies"))
-            x = _unit(np.frombuffer(b"".join(group.column("vector").to_pylist()), np.float64).reshape(len(ids), -1))
-            signs = np.frombuffer(b"".join(group.column("signs").to_pylist()), np.uint64).reshape(len(ids), tables)
+        out: list[tuple[np.ndarray, ...]] = []
+        for group in array_groups(batches, ["bucket", "pair"], ["pair", "blocks", "turn", "own", "id", "copies", "vector", "signs"]):
+            own, ids, copies, turn = group["own"], group["id"], group["copies"], int(group["turn"][0])
+            if len(ids) < 2:
+                continue
+            x = _unit(np.frombuffer(b"".join(group["vector"]), kind).reshape(len(ids), -1).astype(np.float64))
             linked = x @ x.T >= threshold
-            np.fill_diagonal(linked, False)
-            low, high = divmod(group.column("pair")[0].as_py(), group.column("blocks")[0].as_py())
+            low, high = divmod(int(group["pair"][0]), int(group["blocks"][0]))
             if low != high:
                 linked &= own[:, None] != own[None, :]
-            first = linked.copy()
-            for t in range(turn):
-                first &= signs[:, t][:, None] != signs[:, t][None, :]
-            n = first @ copies
+            i, j = np.nonzero(np.triu(linked, 1))
+            if not len(i):
+                continue
+            signs = np.frombuffer(b"".join(group["signs"]), np.uint64).reshape(len(ids), tables)
+            first = ~_met(signs, i, j, turn)
+            n = np.bincount(i[first], copies[j[first]], len(ids)) + np.bincount(j[first], copies[i[first]], len(ids))
+            np.fill_diagonal(linked, False)
             to = _forest(linked)
             some = (n > 0) | (to != np.arange(len(to)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some].astype(np.int64)), pa.array(ids[to[some]])], names=["id", "n", "to"])
+            out.append((ids[some], n[some].astype(np.int64), ids[to[some]]))
+            if len(out) == 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "n", "to"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "n", "to"])
 
     return run
 
@@ -119,21 +137,24 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     """One row per row of vectors: id_col, n_links (other rows linked directly), component_id (smallest id), kept."""
     small_batches(vectors.sparkSession)
     bits, tables = plan(vectors.count(), threshold)
+    # Vectors travel as they are stored, and are compared in double precision.
+    kind = np.float32 if vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector_col].dataType.containsNull) else np.float64
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    hashed = materialize(rows.mapInArrow(_hashed(bits, tables), "id long, label string, key binary, vector binary, signs binary"), "lsh-hashed")
+    hashed = materialize(rows.mapInArrow(_hashed(bits, tables, kind), "id long, label string, key binary, vector binary, signs binary"), "lsh-hashed")
     classes = materialize(hashed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "lsh-classes")
     reps = hashed.withColumnRenamed("id", "rep").join(classes, ["key", "rep"]).dropDuplicates(["key"]).select(F.col("rep").alias("id"), "label", "copies", "vector", "signs")
     reps = materialize(reps, "lsh-reps")
 
     turns = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.xxhash64(t, "label", F.length("vector"), F.substring("signs", 8 * t + 1, F.lit(8)))))
     members = reps.select("id", "label", "signs", "vector").select("id", turns.alias("turn", "bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    # Written before it is joined: Spark splits a hot key's partition in a join of two plain exchanges only.
+    sizes = materialize(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "lsh-sizes")
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     met = members.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     met = met.withColumn("other", other).withColumn("pair", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
     full = met.join(reps.select("id", "copies", "vector", "signs"), "id").select("bucket", "pair", "blocks", "turn", "own", "id", "copies", "vector", "signs")
-    found = full.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "id").mapInArrow(_compare(threshold, tables), "id long, n long, to long")
+    found = full.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "id").mapInArrow(_compare(threshold, tables, kind), "id long, n long, to long")
     found = materialize(found, "lsh-found")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     labels = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")), "lsh-cc").withColumnRenamed("node", "id")

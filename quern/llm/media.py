@@ -6,9 +6,10 @@ hold MIN_CHUNK to MAX_CHUNK bytes. A medium is stored as the ordered list of its
 and each distinct chunk once, with the medium that owns it.
 
 Owners come from joins on digests: media of equal content have one stored form; of a chunk that several media have, the
-smallest digest of a medium owns it. A medium lies in the store as a row of the chunks it owns; only chunks that others
-refer to, and the few media that refer to them, are shuffled when media are read back. What is read is put together by
-the chunk list, compared with the medium's digest, and an error raised where it differs.
+smallest digest of a medium owns it. A medium lies in the store as a row of its list and the chunks it owns; only chunks that
+others refer to, and the few media that refer to them, are shuffled when media are read back. What is read is put together
+in the order of the list, each chunk compared with its digest and the whole with the medium's, and an error raised where one
+differs.
 
 A null text has an empty payload, padded like any other to a row of blanks. Long texts are stored whole. Rows that repeat
 are stored once. Equal texts have equal values. Other columns are not read; an empty table gives an empty one.
@@ -89,19 +90,21 @@ def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(lists, pa.list_(pa.binary()))], names=[*names, "chunks"])
 
 
-STORED = "sha binary, complete boolean, own array<struct<at: int, shared: boolean, data: binary>>"
+STORED = "sha binary, complete boolean, chunks array<binary>, own array<struct<digest: binary, shared: boolean, data: binary>>"
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chunks that a medium owns. absent: places of chunks that others own; lent: places of those that others refer to."""
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("shared", pa.bool_()), ("data", pa.binary())]))
+    """A medium's list and the chunks that it owns. absent: places of chunks that it does not own, or owns at another place;
+    lent: places of those that others refer to. A medium is complete if all of its list is its own."""
+    kind = pa.list_(pa.struct([("digest", pa.binary()), ("shared", pa.bool_()), ("data", pa.binary())]))
     for batch in batched(batches, "medium"):
-        own, complete = [], []
+        lists, own, complete = [], [], []
         for m, absent, lent in zip(batch.column("medium").to_pylist(), batch.column("absent").to_pylist(), batch.column("lent").to_pylist(), strict=True):
-            gone, given = set(absent or ()), set(lent or ())
-            own.append([{"at": i, "shared": i in given, "data": c} for i, c in enumerate(chunks(m)) if i not in gone])
-            complete.append(not gone)
-        yield pa.RecordBatch.from_arrays([batch.column("sha"), pa.array(complete), pa.array(own, kind)], names=["sha", "complete", "own"])
+            gone, given, parts = set(absent or ()), set(lent or ()), chunks(m)
+            lists.append([digest(c) for c in parts])
+            own.append([{"digest": lists[-1][i], "shared": i in given, "data": c} for i, c in enumerate(parts) if i not in gone])
+            complete.append({c["digest"] for c in own[-1]}.issuperset(lists[-1]))
+        yield pa.RecordBatch.from_arrays([batch.column("sha"), pa.array(complete), pa.array(lists, pa.list_(pa.binary())), pa.array(own, kind)], names=["sha", "complete", "chunks", "own"])
 
 
 READ = "sha binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -119,9 +122,11 @@ def feature(data: bytes) -> str:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for sha, parts in zip(batch.column("sha").to_pylist(), batch.column("parts"), strict=True):
-            image = b"".join(p["data"] for p in sorted(parts.as_py(), key=lambda p: p["at"]))
-            if hashlib.sha256(image).digest() != sha:
+        for sha, listed, parts in zip(batch.column("sha").to_pylist(), batch.column("chunks"), batch.column("parts"), strict=True):
+            held = {p["digest"]: p["data"] for p in parts.as_py()}
+            order = listed.as_py()
+            image = b"".join(held.get(d, b"") for d in order)
+            if any(d not in held or digest(held[d]) != d for d in set(order)) or hashlib.sha256(image).digest() != sha:
                 raise ValueError(f"the chunks of medium {sha.hex()} do not make it up")
             data = samples(image)
             rows.append((sha, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(image), sha.hex(), feature(data)))
@@ -129,17 +134,25 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
 
 
-def store_media(docs: DataFrame, *, text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The store of the texts' media: lists (sha, chunks: ordered digests), refs (sha, at, digest) of chunks that another
-    medium owns, and the stored rows (sha, complete, own chunks)."""
+def list_media(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """(id, n_bytes, sha, chunks: ordered digests) of the texts' media, one row per row of docs."""
     small_batches(docs.sparkSession)
+    id_type = docs.schema[id_col].dataType.simpleString()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    media = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), medium(F.col(text_col)).alias("medium"))
+    media = media.select("id", "n_bytes", F.unhex(F.sha2("medium", 256)).alias("sha"), "medium")
+    return materialize(media.mapInArrow(_list, f"id {id_type}, n_bytes long, sha binary, chunks array<binary>"), "media-lists")
+
+
+def store_media(docs: DataFrame, listed: DataFrame, *, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The store of the media of list_media(): refs (sha, digest) of chunks that another medium owns, and the stored rows (sha,
+    complete, chunks, own)."""
     media = docs.select(medium(F.col(text_col)).alias("medium")).withColumn("sha", F.unhex(F.sha2("medium", 256)))
-    listed = materialize(media.mapInArrow(_list, "sha binary, chunks array<binary>"), "media-lists")
-    lists = listed.select("sha", "chunks").dropDuplicates(["sha"])
-    places = lists.select("sha", F.posexplode("chunks").alias("at", "digest"))
-    # Of each digest that occurs more than once, its owner and the owner's first place of it.
+    places = listed.select("sha", "chunks").dropDuplicates(["sha"]).select("sha", F.posexplode("chunks").alias("at", "digest"))
+    # Of each digest that occurs more than once, its owner and the owner's first place of it. Written before it is joined: Spark
+    # splits a hot key's partition in a join of two plain exchanges only.
     owners = places.groupBy("digest").agg(F.min(F.struct("sha", "at")).alias("o"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("o.sha").alias("owner"), F.col("o.at").alias("owner_at"))
-    shared = materialize(places.join(owners, "digest"), "media-shared")
+    shared = materialize(places.join(materialize(owners, "media-owners"), "digest"), "media-shared")
     owned = (F.col("sha") == F.col("owner")) & (F.col("at") == F.col("owner_at"))
     marks = shared.groupBy("sha").agg(F.collect_list(F.when(~owned, F.col("at"))).alias("absent"), F.collect_list(F.when(owned, F.col("at"))).alias("lent"))
     # Broadcast only if their places, four bytes each, and digests of media are counted to be few.
@@ -153,26 +166,24 @@ def store_media(docs: DataFrame, *, text_col: str = "text") -> tuple[DataFrame,
     once = stored.join(again, "sha", "left_anti").mapInArrow(_store, STORED)
     more = media.join(again, "sha", "left_semi").dropDuplicates(["sha"]).join(marks, "sha", "left").mapInArrow(_store, STORED)
     rows = materialize(once.union(more), "media-store")
-    return lists, shared.where(~owned).select("sha", "at", "digest", "owner", "owner_at"), rows
+    return shared.where("sha <> owner").select("sha", "digest").distinct(), rows
 
 
 def read_media(refs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every stored medium, read back, with its features."""
-    whole = rows.where("complete").select("sha", F.transform("own", lambda c: F.struct(c["at"].alias("at"), c["data"].alias("data"))).alias("parts"))
-    lent = rows.select(F.col("sha").alias("owner"), F.explode(F.filter("own", lambda c: c["shared"])).alias("c")).select("owner", F.col("c.at").alias("owner_at"), "c.data")
-    fetched = refs.join(lent, ["owner", "owner_at"]).select("sha", F.struct("at", "data").alias("part"))
-    own = rows.where("not complete").select("sha", F.explode("own").alias("c")).select("sha", F.struct("c.at", "c.data").alias("part"))
-    parts = fetched.union(own).groupBy("sha").agg(F.collect_list("part").alias("parts"))
-    return whole.mapInArrow(_read, READ).union(parts.mapInArrow(_read, READ))
+    """Every stored medium, read back by its list, with its features."""
+    part = lambda c: F.struct(c["digest"].alias("digest"), c["data"].alias("data"))
+    own = rows.select("sha", "complete", "chunks", F.transform("own", part).alias("parts"))
+    lent = rows.select(F.explode(F.filter("own", lambda c: c["shared"])).alias("c")).select("c.digest", "c.data")
+    fetched = refs.join(lent, "digest").groupBy("sha").agg(F.collect_list(F.struct("digest", "data")).alias("more"))
+    torn = own.where("not complete").join(fetched, "sha", "left").select("sha", "chunks", F.concat("parts", F.coalesce("more", F.slice("parts", 1, 0))).alias("parts"))
+    return own.where("complete").select("sha", "chunks", "parts").mapInArrow(_read, READ).union(torn.mapInArrow(_read, READ))
 
 
 def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, n_bytes, and what reading its stored medium back gives."""
-    _, refs, rows = store_media(docs, text_col=text_col)
-    read = materialize(read_media(refs, rows), "media-read")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    named = docs.select(F.col(id_col).alias("__id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(medium(F.col(text_col)), 256)).alias("sha"))
-    return named.join(read, "sha").select(F.col("__id").alias(id_col), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    listed = list_media(docs, id_col=id_col, text_col=text_col)
+    read = materialize(read_media(*store_media(docs, listed, text_col=text_col)), "media-read")
+    return listed.select("id", "n_bytes", "sha").join(read, "sha").select(F.col("id").alias(id_col), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op3_media_chunks(spark, sf_dir: str) -> DataFrame:

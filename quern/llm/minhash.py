@@ -10,7 +10,7 @@ of each class goes on.
 3. Pairs pass if their signatures agree on ESTIMATE of the minima (five standard errors below the threshold), then if
    the full sets, made again from the whole texts, reach the similarity. Links give components.
 4. Where a bucket still holds several components, members outside its hub's component are compared with all others of
-   the bucket, by signature and then on full sets, in tasks of two blocks of BLOCK members each. A task sends on the
+   the bucket, by signature and then on full sets, in tasks of two blocks of BLOCK members or BLOCK_BYTES of shingles each. A task sends on the
    links that join components, never the pairs. So no link between candidates is lost, and pairs within a component
    found before are not tried.
 
@@ -36,8 +36,8 @@ from quern.llm.components import components
 
 K, PERCENT, HASHES, ROWS, ESTIMATE = 5, 75, 96, 4, 0.52
 BANDS = HASHES // ROWS
-#: Members of a bucket that are compared in one block.
-BLOCK = 512
+#: Members of a bucket that are compared in one block, and bytes of their shingles, on average at most.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 
 _rng = np.random.default_rng(20240501)
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -165,10 +165,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = sketches.where("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("rep"))
     classes = materialize(classes, "minhash-classes")
     keys = classes.groupBy(F.col("rep").alias("id")).agg(F.min("key").alias("key"))
-    reps = materialize(sketches.join(keys, ["id", "key"], "left_semi").dropDuplicates(["id"]).select("id", "key", "minima"), "minhash-reps")
+    reps = materialize(sketches.join(keys, ["id", "key"], "left_semi").dropDuplicates(["id"]).select("id", "key", "n", "minima"), "minhash-reps")
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("minima", b * 4 * ROWS + 1, F.lit(4 * ROWS))))
-    members = reps.select("id", F.posexplode(band).alias("band", "bucket"))
+    members = reps.select("id", "n", F.posexplode(band).alias("band", "bucket"))
     # Written before they are joined: Spark splits a hot key's partition in a join of two plain exchanges only.
     hubs = materialize(members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1"), "minhash-hubs")
     inside = materialize(members.join(hubs, "bucket"), "minhash-buckets")
@@ -180,13 +180,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labels = materialize(components(links, "minhash-cc"), "minhash-labels")
 
     # Buckets that still hold more than one component, and whose hub has not met all pairs.
-    placed = inside.where("size > 2").join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", "hub", F.coalesce("component", "id").alias("comp"))
-    parts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("long")
+    placed = inside.where("size > 2").join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", "n", "hub", F.coalesce("component", "id").alias("comp"))
+    # The weight of a member, so that a block of weight 1 is within both bounds.
+    weight = F.greatest(F.lit(1 / BLOCK), F.col("n") * 8 / BLOCK_BYTES)
+    parts = placed.groupBy("bucket", "comp").agg(F.sum(weight).alias("n"), F.min("id").alias("least"))
+    blocks = lambda n: F.greatest(F.ceil(n).cast("long"), F.lit(1).cast("long"))
     torn = parts.groupBy("bucket").agg(F.count("*").alias("comps"), F.min_by("comp", "least").alias("hub_comp"), F.min_by("n", "least").alias("n_major"), F.sum("n").alias("size")).where("comps > 1")
     torn = torn.withColumn("n_minor", F.col("size") - F.col("n_major")).select("bucket", "hub_comp", blocks("n_major").alias("majors"), blocks("n_minor").alias("minors"))
     torn = materialize(torn, "minhash-tears")
-    rest = placed.join(torn, "bucket")
+    rest = placed.drop("n").join(torn, "bucket")
     major = F.col("comp") == F.col("hub_comp")
     own = F.pmod(F.xxhash64("id"), F.when(major, F.col("majors")).otherwise(F.col("minors")))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)

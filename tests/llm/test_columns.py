@@ -359,8 +359,9 @@ def test_media(odd_docs, no_docs):
 def test_chunks_are_stored_once(spark):
     passage = words(1, 4000)
     docs = spark.createDataFrame([(i, words(10 + i, 900 * i) + " " + passage + words(30 + i, 700)) for i in range(8)], "doc_id long, text string")
-    lists, refs, rows = media.store_media(docs)
-    distinct = {d for r in lists.collect() for d in r.chunks}
+    lists = media.list_media(docs, id_col="doc_id", text_col="text")
+    refs, rows = media.store_media(docs, lists)
+    distinct = {bytes(d) for r in lists.collect() for d in r.chunks}
     own = [bytes(c.data) for r in rows.collect() for c in r.own]
     assert len(own) == len(set(own)) == len(distinct) and refs.count() > 30
     assert sum(map(len, own)) < 0.7 * sum(len(r.text) for r in docs.collect())
@@ -374,10 +375,16 @@ def test_chunks_move_with_content():
 
 
 def test_media_notices_damage(spark):
-    _, refs, rows = media.store_media(spark.createDataFrame([(1, words(1, 3000))], "doc_id long, text string"))
-    broken = rows.selectExpr("sha", "complete", "slice(own, 1, size(own) - 1) as own")
+    docs = spark.createDataFrame([(1, words(1, 3000))], "doc_id long, text string")
+    refs, rows = media.store_media(docs, media.list_media(docs, id_col="doc_id", text_col="text"))
+    assert media.read_media(refs, rows).count() == 1
+    lost = "slice(own, 1, size(own) - 1)"
+    changed = "transform(own, c -> named_struct('digest', c.digest, 'shared', c.shared, 'data', c.digest))"
+    for own in (lost, changed):
+        with pytest.raises(Exception, match="do not make it up"):
+            media.read_media(refs, rows.selectExpr("sha", "complete", "chunks", f"{own} as own")).collect()
     with pytest.raises(Exception, match="do not make it up"):
-        media.read_media(refs, broken).collect()
+        media.read_media(refs, rows.selectExpr("sha", "complete", "reverse(chunks) as chunks", "own")).collect()
 
 
 def test_quality(spark, data, odd_docs, no_docs):

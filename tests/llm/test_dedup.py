@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import embeddings, minhash, substrings
+from quern.llm.common import array_groups
 from quern.llm.components import components
 from tests.llm.conftest import clashing, words
 
@@ -78,6 +79,24 @@ def test_minhash_hot_bucket(spark, monkeypatch):
     check_near(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_minhash_hot_bucket_of_long_texts(spark, monkeypatch):
+    """Blocks are bounded by bytes too: few members, long sets, and the links between blocks are found."""
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 1 << 16)
+    shared = words(1, 3000)
+    rows = [(i, shared + " " + words(i + 10, 1100)) for i in range(12)] + [(100 + i, shared + " " + words(3, 1100) + f" end{i}") for i in range(6)]
+    check_near(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_array_groups():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    keys = sorted((rng.randrange(6), rng.randrange(3)) for _ in range(200))
+    table = pa.table({"a": [k[0] for k in keys], "b": [k[1] for k in keys], "v": range(200)})
+    got = [(int(g["a"][0]), int(g["b"][0]), g["v"].tolist()) for g in array_groups(iter(table.to_batches(max_chunksize=7)), ["a", "b"], ["v"])]
+    assert [g[:2] for g in got] == sorted(set(keys)) and [v for g in got for v in g[2]] == list(range(200))
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(70)] + [(500, i) for i in range(501, 600)] + [(7, 7), (8, 9), (9, 8), (None, 3)]
