@@ -1,12 +1,19 @@
 """Lexical retrieval packing: documents that share words fill a window together.
 
-Each task reads its rows in shards of bounded size and builds a BM25 inverted index of the shard (terms: pairs of
-neighbouring tokens; those in a single document retrieve nothing and are left out). The next unused document seeds a
-window; the unused documents follow by falling score for all of the seed's terms until the window is full, and documents in
-input order only when no unused one has a positive score.
-A document that does not fit is cut there, and what is left of it seeds the next window, so windows hold WINDOW tokens
-and no padding; the end of a shard is cut to powers of two, which need none. A shard lies within one input partition:
-nothing is shuffled, no group of copies meets in a task, and memory is bounded by the shard.
+Terms are pairs of neighbouring tokens, hashed to FEATURES values. One scan tokenizes the documents and counts, over all of
+them, in how many each term occurs, and their mean length. Then every document gets two terms of its own by weighted minima:
+of a fixed pseudo-random order in which a term comes early in proportion to its inverse document frequency, its first. Two
+documents get the same one with a chance equal to the weight of the terms that they share, of all that either has; so
+neighbours gather when documents are dealt by ranges of these terms (and of a hash, so that no group of copies is too large for
+a task), and are cut, in this order, into shards of bounded size.
+
+Each shard has a BM25 inverted index with the statistics of the whole corpus. The next unused document seeds a window; the
+unused documents of the shard follow by falling score for all of the seed's terms until the window is full, and documents in
+order only when no unused one has a positive score. A document that does not fit is cut there, and what is left of it seeds
+the next window, so windows hold WINDOW tokens and no padding; the end of a shard is cut to powers of two, which need none.
+
+What a task holds is bounded by the shard, what is broadcast by FEATURES (8 MB). Neighbours in other shards are not found; how many
+that are is measured (python -m quern.llm.recall) and stated in the README.
 
 A null text is empty and has the end token alone. Very long documents fill windows of their own. Repeated rows are
 packed as often as they occur. An empty table gives an empty one. Only id and text columns are read.
@@ -25,14 +32,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import batched, raw_texts, small_batches
+from quern.llm.common import batched, materialize, mix64, raw_texts, seen, small_batches
 
 WINDOW, END = 1024, 0
 #: A shard holds so many documents or tokens at most (one document may exceed it).
-SHARD_DOCS, SHARD_TOKENS, K1, B = 4096, 3_000_000, 1.2, 0.75
+SHARD_DOCS, SHARD_TOKENS, K1, B = 2048, 1_500_000, 1.2, 0.75
+#: Values that pairs of tokens are hashed to, and blocks in which their counts are added up.
+BITS, BLOCKS = 20, 64
+FEATURES = 1 << BITS
 #: The ranks of byte_bpe_50k.json: the same ids, at four times the speed.
 TOKENIZER = "byte_bpe_50k.tiktoken"
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, shard_id long"
 
 
 class Encoder:
@@ -45,6 +55,8 @@ class Encoder:
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        #: Bytes of a token id as it is stored.
+        self.width = 2 if max(max(ranks.values()), self.MARK_ID) < 1 << 16 else 4
         self.bpe = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
@@ -61,33 +73,58 @@ def encoder(path: str | None) -> Encoder:
     return Encoder(path or public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
+def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of a document, and how often each occurs. The end token is of none."""
+    pairs = ids[:-2].astype(np.uint64) << np.uint64(32) | ids[1:-1]
+    return np.unique((mix64(pairs) >> np.uint64(64 - BITS)).astype(np.uint32), return_counts=True)
+
+
+class Stats:
+    """Document frequencies of all terms over n documents of a mean length."""
+
+    def __init__(self, df: np.ndarray, n: int, mean: float):
+        self.n, self.mean = n, max(mean, 1.0)
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        self.alone = df < 2
+
+    def orders(self) -> list[np.ndarray]:
+        """Two pseudo-random orders of the terms, those of weight first; terms of a single document gather nothing and are last."""
+        out = []
+        for seed in (1, 2):
+            u = ((mix64(np.arange(1, FEATURES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * seed)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+            out.append(np.where(self.alone, np.inf, -np.log(u) / np.maximum(self.idf, 1e-6)).astype(np.float32))
+        return out
+
+
+def stats_of(docs: list[np.ndarray]) -> Stats:
+    """Of a few documents."""
+    df = np.bincount(np.concatenate([terms_of(d)[0] for d in docs] or [np.empty(0, np.uint32)]), minlength=FEATURES)
+    return Stats(df, len(docs), float(np.mean([max(len(d) - 1, 0) for d in docs])) if docs else 0.0)
+
+
 class Index:
     """BM25 postings of a shard of up to 4096 documents, by term and by document."""
 
-    def __init__(self, docs: list[np.ndarray]):
-        n = len(docs)
+    def __init__(self, docs: list[np.ndarray], stats: Stats | None = None):
+        n, stats = len(docs), stats or stats_of(docs)
         sizes = np.array([max(len(d) - 1, 0) for d in docs], np.int64)
-        # A posting is one number (40 bits of a term's hash, document, frequency), so that one plain sort makes the index.
+        # A posting is one number (term, document, frequency), so that one plain sort makes the index.
         packed = []
         for i, d in enumerate(docs):
-            pairs = d[:-1].astype(np.uint64) << np.uint64(17) | d[1:]
-            term, often = np.unique(pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24), return_counts=True)
-            packed.append(term << np.uint64(24) | np.uint64(i << 12) | np.minimum(often, 4095).astype(np.uint64))
+            term, often = terms_of(d)
+            packed.append(term.astype(np.uint64) << np.uint64(24) | np.uint64(i << 12) | np.minimum(often, 4095).astype(np.uint64))
         every = np.sort(np.concatenate(packed)) if n else np.empty(0, np.uint64)
         term = every >> np.uint64(24)
         again = np.r_[False, term[1:] == term[:-1]][: len(term)]
         shared = again | np.r_[again[1:], False][: len(term)]
-        every, again = every[shared], again[shared]
+        every, again, idf = every[shared], again[shared], stats.idf[term[shared]]
         self.doc = (every >> np.uint64(12) & np.uint64(4095)).astype(np.uint16)
         often = (every & np.uint64(4095)).astype(np.float32)
         self.begin = np.r_[np.flatnonzero(~again), len(every)]
-        df = np.diff(self.begin)
-        term = np.repeat(np.arange(len(df)), df)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        norm = (K1 * (1 - B + B * sizes / max(sizes.mean(), 1))).astype(np.float32) if n else sizes
-        self.weight = idf[term] * often * np.float32(K1 + 1) / (often + norm[self.doc])
+        norm = (K1 * (1 - B + B * sizes / stats.mean)).astype(np.float32) if n else sizes
+        self.weight = idf * often * np.float32(K1 + 1) / (often + norm[self.doc])
         back = np.argsort(self.doc, kind="stable")
-        self.own_term = term[back]
+        self.own_term = np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin))[back]
         self.own = np.searchsorted(self.doc[back], np.arange(n + 1))
         self.n = n
 
@@ -107,10 +144,10 @@ class Index:
             found, k = found[score[found] < least], 4 * k
 
 
-def pack(ids: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+def pack(ids: list[np.ndarray], stats: Stats | None = None) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece of a shard of encoded documents."""
-    tokens = [len(x) // 4 for x in ids]
-    index = Index([np.frombuffer(x, "<u4") for x in ids])
+    tokens = [len(x) for x in ids]
+    index = Index(ids, stats)
     unused, cursor = np.ones(len(ids), bool), 0
     pieces: list[tuple[int, int, int]] = []
     room, queue, carried = WINDOW, iter(()), None
@@ -152,41 +189,101 @@ def pack(ids: list[bytes]) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def _mapper(path: str | None):
+def _tokenize(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        end, sequence = np.array([END], "<u4").tobytes(), TaskContext.get().partitionId() << 36
+        end, kind, df = np.array([END], "<u4").tobytes(), f"<u{enc.width}", np.zeros(FEATURES, np.int64)
+        for batch in batched(batches, "text"):
+            every = [np.frombuffer(enc.encode(text.decode()) + end, "<u4") for text in raw_texts(batch, "text")]
+            df += np.bincount(np.concatenate([terms_of(x)[0] for x in every]), minlength=FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in every], pa.int64()), pa.array([x.astype(kind).tobytes() for x in every], pa.binary())], names=["doc_id", "tokens", "ids"])
+        if df.any():
+            # The counts of this task, in rows of their own, told from documents by a negative number.
+            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(df, BLOCKS)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, pa.int64()), pa.array(range(-BLOCKS, 0), pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "tokens", "ids"])
+
+    return run
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, part in zip(batch.column("tokens").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            counts = np.frombuffer(zlib.decompress(part), np.int64)
+            sums[block] = sums[block] + counts if block in sums else counts
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["tokens", "ids"])
+
+
+def _decoded(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, f"<u{len(x) // n}") for x, n in zip(batch.column("ids").to_pylist(), batch.column("tokens").to_pylist(), strict=True)]
+
+
+def _route(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = shared.value.orders()
+        for batch in batches:
+            keys = np.full((2, batch.num_rows), -1, np.int64)
+            for i, x in enumerate(_decoded(batch)):
+                term, _ = terms_of(x)
+                for k, order in enumerate(orders):
+                    if len(term) and np.isfinite(order[term].min()):
+                        keys[k, i] = term[order[term].argmin()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys[0]), pa.array(keys[1])], names=[*batch.schema.names, "near", "nearer"])
+
+    return run
+
+
+def _mapper(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stats, part = shared.value, TaskContext.get().partitionId() << 36
+        sequence, shard = part, part
         names, ids, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal names, ids, held, sequence
-            found = pack(ids)
-            d, start, size, seq, offset = (np.array(c, np.int64) for c in zip(*found, strict=True))
-            crc = [zlib.crc32(ids[i][4 * s : 4 * (s + n)]) for i, s, n in zip(d.tolist(), start.tolist(), size.tolist(), strict=True)]
-            tokens = np.array([len(x) // 4 for x in ids], np.int64)
-            out = pa.RecordBatch.from_arrays([pa.array(names, pa.int64()).take(pa.array(d)), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(tokens[d]), pa.array(seq + sequence), pa.array(offset)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            sequence += int(seq[-1]) + 1
+            nonlocal names, ids, held, sequence, shard
+            d, start, size, seq, offset = (np.array(c, np.int64) for c in zip(*pack(ids, stats), strict=True))
+            crc = [zlib.crc32(ids[i][s : s + n].astype("<u4").tobytes()) for i, s, n in zip(d.tolist(), start.tolist(), size.tolist(), strict=True)]
+            tokens = np.array([len(x) for x in ids], np.int64)
+            columns = [pa.array(names, pa.int64()).take(pa.array(d)), *(pa.array(x, pa.int64()) for x in (start, size, crc, tokens[d], seq + sequence, offset, np.full(len(d), shard)))]
+            sequence, shard = sequence + int(seq[-1]) + 1, shard + 1
             names, ids, held = [], [], 0
-            return out
+            return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        for batch in batched(batches, "text"):
-            for name, text in zip(batch.column("doc_id").to_pylist(), raw_texts(batch, "text"), strict=True):
-                one = enc.encode(text.decode()) + end
-                if ids and (len(ids) == SHARD_DOCS or held + len(one) // 4 > SHARD_TOKENS):
+        for batch in batches:
+            for name, one in zip(batch.column("doc_id").to_pylist(), _decoded(batch), strict=True):
+                if ids and (len(ids) == SHARD_DOCS or held + len(one) > SHARD_TOKENS):
                     yield flush()
                 names.append(name)
                 ids.append(one)
-                held += len(one) // 4
+                held += len(one)
         if ids:
             yield flush()
 
     return run
 
 
+def corpus_stats(encoded: DataFrame) -> Stats:
+    """Of the table of _tokenize(): the tasks' counts are added up by blocks, and FEATURES numbers reach the driver."""
+    counts = encoded.where("tokens < 0").select("tokens", "ids").repartition("tokens").mapInArrow(_add_up, "tokens long, ids binary").toArrow()
+    df = np.zeros(FEATURES, np.int64)
+    for block, part in zip(counts.column("tokens").to_pylist(), counts.column("ids").to_pylist(), strict=True):
+        np.split(df, BLOCKS)[block][:] += np.frombuffer(part, np.int64)
+    n, total = seen(encoded)["n"], seen(encoded)["total"] or 0
+    return Stats(df, n, total / max(n, 1))
+
+
 def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece. tokenizer: path of the ranks file on the executors; the installed public one if None."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_mapper(tokenizer), SCHEMA)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    encoded = texts.mapInArrow(_tokenize(tokenizer), "doc_id long, tokens long, ids binary")
+    of_docs = F.col("tokens") > 0
+    encoded = materialize(encoded, "pack-tokens", n=F.count_if(of_docs), total=F.sum(F.when(of_docs, F.col("tokens") - 1)))
+    shared = docs.sparkSession.sparkContext.broadcast(corpus_stats(encoded))
+    routed = materialize(encoded.where(of_docs).mapInArrow(_route(shared), "doc_id long, tokens long, ids binary, near long, nearer long"), "pack-routed")
+    order = ["near", "nearer", F.xxhash64("doc_id", "ids")]
+    return routed.repartitionByRange(*order).sortWithinPartitions(*order, "doc_id").select("doc_id", "tokens", "ids").mapInArrow(_mapper(shared), SCHEMA)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

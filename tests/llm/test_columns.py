@@ -276,7 +276,7 @@ def test_packing_retrieves():
     """A window holds the seed's lexical neighbours, not the next documents."""
     rng = np.random.default_rng(1)
     topics = [rng.integers(100, 40000, 60) for _ in range(8)]
-    ids = [np.r_[rng.choice(topics[i % 8], 255), 0].astype("<u4").tobytes() for i in range(64)]
+    ids = [np.r_[rng.choice(topics[i % 8], 255), 0].astype("<u4") for i in range(64)]
     by = defaultdict(set)
     for d, _, _, seq, _ in packing.pack(ids):
         by[seq].add(d % 8)
@@ -287,7 +287,7 @@ def test_packing_fills_windows_by_score():
     """Short documents: a window goes on with lower scores, not with input order, while any are positive."""
     rng = np.random.default_rng(2)
     topics = [rng.integers(100, 40000, 50) for _ in range(8)]
-    ids = [np.r_[topics[i % 8][(o := rng.integers(0, 21)) : o + 29], 0].astype("<u4").tobytes() for i in range(544)]
+    ids = [np.r_[topics[i % 8][(o := rng.integers(0, 21)) : o + 29], 0].astype("<u4") for i in range(544)]
     by = defaultdict(set)
     for d, _, _, seq, _ in packing.pack(ids):
         by[seq].add(d % 8)
@@ -300,7 +300,8 @@ def test_packing_ranks_all_neighbours():
     base = rng.integers(100, 40000, 400)
     docs = [np.r_[np.concatenate([base[(o := rng.integers(0, 380)) : o + 20] for _ in range(rng.integers(1, 9))]), 0].astype("<u4") for _ in range(120)]
     index, unused = packing.Index(docs), rng.random(120) < 0.8
-    terms = [Counter(zip(d[:-1].tolist(), d[1:].tolist(), strict=True)) for d in docs]
+    terms = [dict(zip(*(x.tolist() for x in packing.terms_of(d)), strict=True)) for d in docs]
+    assert sum(map(len, terms)) > 0.99 * sum(len(set(zip(d[:-2].tolist(), d[1:-1].tolist(), strict=True))) for d in docs)
     df = Counter(t for x in terms for t in x)
     sizes = np.array([len(d) - 1 for d in docs])
     for seed in range(0, 120, 7):
@@ -314,6 +315,26 @@ def test_packing_ranks_all_neighbours():
         assert np.all(np.diff(score[got]) < 1e-4)
 
 
+def test_packing_gathers_neighbours(spark):
+    """Documents of one topic that lie far apart come into one shard, and windows are of one topic; counts are of the corpus."""
+    rng = np.random.default_rng(7)
+    topics = [[words(int(1000 * t + i), 4) for i in range(12)] for t in range(60)]
+    rows = [(i, " ".join(str(rng.choice(topics[i % 60])) for _ in range(9))) for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    by = defaultdict(Counter)
+    for p in packing.pack_documents(docs).collect():
+        by[p.sequence_id][p.doc_id % 60] += p.length
+    assert np.mean([max(c.values()) / sum(c.values()) for c in by.values()]) > 0.5
+
+
+def test_packing_statistics(spark, data):
+    docs = spark.read.parquet(str(data / "documents.parquet")).select("doc_id", "text")
+    table = packing.materialize(docs.mapInArrow(packing._tokenize(None), "doc_id long, tokens long, ids binary"), "t", n=F.count_if(F.expr('tokens > 0')), total=F.expr("sum(if(tokens > 0, tokens - 1, 0))"))
+    every = [np.frombuffer(bytes(r.ids), "<u2") for r in table.where("tokens > 0").collect()]
+    got, want = packing.corpus_stats(table), packing.stats_of(every)
+    assert got.n == want.n == docs.count() and got.mean == pytest.approx(want.mean) and (got.idf == want.idf).all() and (got.alone == want.alone).all()
+
+
 PAGES = {
     "<html><head><title>t</title></head><body><nav><a href=x>menu</a></nav><article><h1>Head</h1><p>One,\n two &amp; three.<p>Four <b>five<br>six</b></article><footer>f</footer>": "Head\n\nOne, two & three.\n\nFour five six",
     "<body><header>top</header><div class='sidebar'>side, bar, text that is long enough</div><div id=main><p>A paragraph, long enough to be scored, surely.</p><p>And a second, also long enough to be scored.</p><ul><li>x<li>y</ul></div><div class=comments><p>A comment, which is long too, as comments are.</p></div><form>f</form><aside>a</aside></body>": "A paragraph, long enough to be scored, surely.\n\nAnd a second, also long enough to be scored.\n\nx\n\ny",
