@@ -32,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import batched, materialize, mix64, raw_texts, seen, small_batches
+from quern.llm.common import batched, materialize, mix64, raw_texts, release, seen, small_batches
 
 WINDOW, END = 1024, 0
 #: A shard holds so many documents or tokens at most (one document may exceed it).
-SHARD_DOCS, SHARD_TOKENS, K1, B = 2048, 1_500_000, 1.2, 0.75
+SHARD_DOCS, SHARD_TOKENS, K1, B = 1024, 1_000_000, 1.2, 0.75
 #: Values that pairs of tokens are hashed to, and blocks in which their counts are added up.
 BITS, BLOCKS = 20, 64
 FEATURES = 1 << BITS
@@ -59,11 +59,12 @@ class Encoder:
         self.width = 2 if max(max(ranks.values()), self.MARK_ID) < 1 << 16 else 4
         self.bpe = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, text: str) -> bytes:
-        parts = [self.bpe.encode_to_numpy(part, disallowed_special=()) for part in text.split(self.MARK)]
-        if len(parts) == 1:
-            return parts[0].astype("<u4").tobytes()
-        return np.array([self.MARK_ID], "<u4").tobytes().join(x.astype("<u4").tobytes() for x in parts)
+    def encode(self, text: str) -> list[int]:
+        parts = [self.bpe.encode_ordinary(part) for part in text.split(self.MARK)]
+        for part in parts[1:]:
+            parts[0].append(self.MARK_ID)
+            parts[0] += part
+        return parts[0]
 
 
 @cache
@@ -73,10 +74,30 @@ def encoder(path: str | None) -> Encoder:
     return Encoder(path or public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
+def pairs_of(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of documents, place by place, and the place of the document that each is of. The end token is of none."""
+    sizes = np.array([len(d) for d in docs], np.int64)
+    if not sizes.sum():
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    flat, ends = np.concatenate(docs).astype(np.uint64), np.cumsum(sizes)
+    own = np.ones(len(flat), bool)
+    own[ends - 1] = own[ends - 2] = False
+    at = np.flatnonzero(own)
+    return mix64(flat[at] << np.uint64(32) | flat[at + 1]) >> np.uint64(64 - BITS), np.repeat(np.arange(len(docs)), sizes)[at]
+
+
+def postings(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term, document and frequency, in this order, of up to 4096 documents: by one plain sort."""
+    term, doc = pairs_of(docs)
+    every = np.sort(term << np.uint64(12) | doc.astype(np.uint64))
+    begin = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
+    return (every[begin] >> np.uint64(12)).astype(np.int64), (every[begin] & np.uint64(4095)).astype(np.int64), np.diff(np.r_[begin, len(every)])
+
+
 def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The terms of a document, and how often each occurs. The end token is of none."""
-    pairs = ids[:-2].astype(np.uint64) << np.uint64(32) | ids[1:-1]
-    return np.unique((mix64(pairs) >> np.uint64(64 - BITS)).astype(np.uint32), return_counts=True)
+    """The terms of a document, and how often each occurs."""
+    term, _, often = postings([ids])
+    return term, often
 
 
 class Stats:
@@ -98,43 +119,53 @@ class Stats:
 
 def stats_of(docs: list[np.ndarray]) -> Stats:
     """Of a few documents."""
-    df = np.bincount(np.concatenate([terms_of(d)[0] for d in docs] or [np.empty(0, np.uint32)]), minlength=FEATURES)
+    df = np.zeros(FEATURES, np.int64)
+    for start in range(0, len(docs), 4096):
+        df += np.bincount(postings(docs[start : start + 4096])[0], minlength=FEATURES)
     return Stats(df, len(docs), float(np.mean([max(len(d) - 1, 0) for d in docs])) if docs else 0.0)
 
 
 class Index:
-    """BM25 postings of a shard of up to 4096 documents, by term and by document."""
+    """BM25 postings of a shard of up to 4096 documents, by term and by document. Terms that one in DENSE documents has are
+    scored for all seeds at once, by a product of matrices; the rest by postings, seed by seed."""
+
+    DENSE = 16
 
     def __init__(self, docs: list[np.ndarray], stats: Stats | None = None):
         n, stats = len(docs), stats or stats_of(docs)
         sizes = np.array([max(len(d) - 1, 0) for d in docs], np.int64)
-        # A posting is one number (term, document, frequency), so that one plain sort makes the index.
-        packed = []
-        for i, d in enumerate(docs):
-            term, often = terms_of(d)
-            packed.append(term.astype(np.uint64) << np.uint64(24) | np.uint64(i << 12) | np.minimum(often, 4095).astype(np.uint64))
-        every = np.sort(np.concatenate(packed)) if n else np.empty(0, np.uint64)
-        term = every >> np.uint64(24)
-        again = np.r_[False, term[1:] == term[:-1]][: len(term)]
-        shared = again | np.r_[again[1:], False][: len(term)]
-        every, again, idf = every[shared], again[shared], stats.idf[term[shared]]
-        self.doc = (every >> np.uint64(12) & np.uint64(4095)).astype(np.uint16)
-        often = (every & np.uint64(4095)).astype(np.float32)
-        self.begin = np.r_[np.flatnonzero(~again), len(every)]
-        norm = (K1 * (1 - B + B * sizes / stats.mean)).astype(np.float32) if n else sizes
-        self.weight = idf * often * np.float32(K1 + 1) / (often + norm[self.doc])
+        term, doc, often = postings(docs)
+        begin = np.flatnonzero(np.r_[True, term[1:] != term[:-1]][: len(term)])
+        df = np.diff(np.r_[begin, len(term)])
+        # A term of one document retrieves nothing.
+        shared = np.repeat(df > 1, df)
+        term, self.doc, often, df = term[shared], doc[shared], often[shared].astype(np.float32), df[df > 1]
+        self.begin = np.r_[0, np.cumsum(df)]
+        norm = (K1 * (1 - B + B * sizes / stats.mean)).astype(np.float32)
+        self.weight = (stats.idf[term] * often * np.float32(K1 + 1) / (often + norm[self.doc])).astype(np.float64)
+        number = np.repeat(np.arange(len(df)), df)
         back = np.argsort(self.doc, kind="stable")
-        self.own_term = np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin))[back]
+        self.own_term = number[back]
         self.own = np.searchsorted(self.doc[back], np.arange(n + 1))
-        self.n = n
+        self.n, dense = n, df * self.DENSE >= n
+        self.dense = dense
+        row, inside = np.cumsum(dense) - 1, dense[number]
+        rows = np.zeros((int(dense.sum()), n), np.float32)
+        rows[row[number[inside]], self.doc[inside]] = self.weight[inside]
+        self.common = (rows > 0).astype(np.float32).T @ rows
+
+    def scores(self, seed: int) -> np.ndarray:
+        """The scores of all documents for all terms of the seed."""
+        terms = self.own_term[self.own[seed] : self.own[seed + 1]]
+        terms = terms[~self.dense[terms]]
+        size = self.begin[terms + 1] - self.begin[terms]
+        at = np.repeat(self.begin[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.doc[at], self.weight[at], self.n) + self.common[seed]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """All documents unused at the first call that share a term with the seed, by falling score for all of its
         terms; ties by position. Scored when the first is asked for, and sorted as far as they are asked for."""
-        terms = self.own_term[self.own[seed] : self.own[seed + 1]]
-        size = self.begin[terms + 1] - self.begin[terms]
-        at = np.repeat(self.begin[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        score = np.bincount(self.doc[at], self.weight[at], self.n)
+        score = self.scores(seed)
         score[~unused] = 0
         found, k = np.flatnonzero(score), 16
         while len(found):
@@ -192,11 +223,11 @@ def pack(ids: list[np.ndarray], stats: Stats | None = None) -> list[tuple[int, i
 def _tokenize(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        end, kind, df = np.array([END], "<u4").tobytes(), f"<u{enc.width}", np.zeros(FEATURES, np.int64)
+        kind, df = f"<u{enc.width}", np.zeros(FEATURES, np.int64)
         for batch in batched(batches, "text"):
-            every = [np.frombuffer(enc.encode(text.decode()) + end, "<u4") for text in raw_texts(batch, "text")]
-            df += np.bincount(np.concatenate([terms_of(x)[0] for x in every]), minlength=FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in every], pa.int64()), pa.array([x.astype(kind).tobytes() for x in every], pa.binary())], names=["doc_id", "tokens", "ids"])
+            every = [np.array([*enc.encode(text.decode()), END], kind) for text in raw_texts(batch, "text")]
+            df += np.bincount(postings(every)[0], minlength=FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in every], pa.int64()), pa.array([x.tobytes() for x in every], pa.binary())], names=["doc_id", "tokens", "ids"])
         if df.any():
             # The counts of this task, in rows of their own, told from documents by a negative number.
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(df, BLOCKS)]
@@ -223,12 +254,13 @@ def _route(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = shared.value.orders()
         for batch in batches:
+            term, doc = pairs_of(_decoded(batch))
+            begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)])
             keys = np.full((2, batch.num_rows), -1, np.int64)
-            for i, x in enumerate(_decoded(batch)):
-                term, _ = terms_of(x)
-                for k, order in enumerate(orders):
-                    if len(term) and np.isfinite(order[term].min()):
-                        keys[k, i] = term[order[term].argmin()]
+            for k, order in enumerate(orders):
+                # The least value of an order stands for the term that has it.
+                if len(begin):
+                    keys[k, doc[begin]] = np.minimum.reduceat(order[term], begin).view(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys[0]), pa.array(keys[1])], names=[*batch.schema.names, "near", "nearer"])
 
     return run
@@ -282,6 +314,7 @@ def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, id_col: str
     encoded = materialize(encoded, "pack-tokens", n=F.count_if(of_docs), total=F.sum(F.when(of_docs, F.col("tokens") - 1)))
     shared = docs.sparkSession.sparkContext.broadcast(corpus_stats(encoded))
     routed = materialize(encoded.where(of_docs).mapInArrow(_route(shared), "doc_id long, tokens long, ids binary, near long, nearer long"), "pack-routed")
+    release(encoded)
     order = ["near", "nearer", F.xxhash64("doc_id", "ids")]
     return routed.repartitionByRange(*order).sortWithinPartitions(*order, "doc_id").select("doc_id", "tokens", "ids").mapInArrow(_mapper(shared), SCHEMA)
 

@@ -21,7 +21,7 @@ def measure(spark: SparkSession, folder: str, seeds: int = 200) -> dict[str, flo
     enc, names, every = packing.encoder(None), [], []
     for r in docs.toLocalIterator():
         names.append(r.doc_id)
-        every.append(np.frombuffer(enc.encode(r.text or "") + b"\0\0\0\0", "<u4"))
+        every.append(np.array([*enc.encode(r.text or ""), packing.END], "<u4"))
     stats, n = packing.stats_of(every), len(every)
     terms = [packing.terms_of(x) for x in every]
     doc = np.repeat(np.arange(n), [len(t) for t, _ in terms])

@@ -300,6 +300,7 @@ def test_packing_ranks_all_neighbours():
     base = rng.integers(100, 40000, 400)
     docs = [np.r_[np.concatenate([base[(o := rng.integers(0, 380)) : o + 20] for _ in range(rng.integers(1, 9))]), 0].astype("<u4") for _ in range(120)]
     index, unused = packing.Index(docs), rng.random(120) < 0.8
+    assert 0 < index.dense.sum() < len(index.dense)
     terms = [dict(zip(*(x.tolist() for x in packing.terms_of(d)), strict=True)) for d in docs]
     assert sum(map(len, terms)) > 0.99 * sum(len(set(zip(d[:-2].tolist(), d[1:-1].tolist(), strict=True))) for d in docs)
     df = Counter(t for x in terms for t in x)
@@ -310,6 +311,7 @@ def test_packing_ranks_all_neighbours():
             for t in x.keys() & terms[seed].keys():
                 if df[t] > 1:
                     score[i] += np.log1p((120 - df[t] + 0.5) / (df[t] + 0.5)) * x[t] * 2.2 / (x[t] + 1.2 * (0.25 + 0.75 * sizes[i] / sizes.mean()))
+        assert index.scores(seed) == pytest.approx(score, rel=1e-5)
         got = list(index.neighbours(seed, unused))
         assert sorted(got) == [i for i in range(120) if score[i] and unused[i]] and len(got) > 16
         assert np.all(np.diff(score[got]) < 1e-4)
