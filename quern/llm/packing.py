@@ -4,8 +4,8 @@ Terms are pairs of neighbouring tokens, hashed to FEATURES values. One scan toke
 them, in how many each term occurs, and their mean length. Then every document gets two terms of its own by weighted minima:
 of a fixed pseudo-random order in which a term comes early in proportion to its inverse document frequency, its first. Two
 documents get the same one with a chance equal to the weight of the terms that they share, of all that either has; so
-neighbours gather when documents are dealt by ranges of these terms (and of a hash, so that no group of copies is too large for
-a task), and are cut, in this order, into shards of bounded size.
+neighbours gather when documents are dealt by the first of these terms, sorted by both, and cut, in this order, into shards of
+bounded size. A term that too many documents have for one task is split over several.
 
 Each shard has a BM25 inverted index with the statistics of the whole corpus. The next unused document seeds a window; the
 unused documents of the shard follow by falling score for all of the seed's terms until the window is full, and documents in
@@ -25,6 +25,7 @@ import base64
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import batched, materialize, mix64, raw_texts, release, seen, small_batches
+from quern.llm.common import batched, materialize, mix64, raw_texts, seen, small_batches
 
 WINDOW, END = 1024, 0
 #: A shard holds so many documents or tokens at most (one document may exceed it).
@@ -144,7 +145,7 @@ class Index:
         norm = (K1 * (1 - B + B * sizes / stats.mean)).astype(np.float32)
         self.weight = (stats.idf[term] * often * np.float32(K1 + 1) / (often + norm[self.doc])).astype(np.float64)
         number = np.repeat(np.arange(len(df)), df)
-        back = np.argsort(self.doc, kind="stable")
+        back = np.argsort(self.doc.astype(np.uint16), kind="stable")
         self.own_term = number[back]
         self.own = np.searchsorted(self.doc[back], np.arange(n + 1))
         self.n, dense = n, df * self.DENSE >= n
@@ -225,7 +226,7 @@ def _tokenize(path: str | None):
         enc = encoder(path)
         kind, df = f"<u{enc.width}", np.zeros(FEATURES, np.int64)
         for batch in batched(batches, "text"):
-            every = [np.array([*enc.encode(text.decode()), END], kind) for text in raw_texts(batch, "text")]
+            every = [np.fromiter(chain(x := enc.encode(text.decode()), (END,)), kind, len(x) + 1) for text in raw_texts(batch, "text")]
             df += np.bincount(postings(every)[0], minlength=FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in every], pa.int64()), pa.array([x.tobytes() for x in every], pa.binary())], names=["doc_id", "tokens", "ids"])
         if df.any():
@@ -313,10 +314,10 @@ def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, id_col: str
     of_docs = F.col("tokens") > 0
     encoded = materialize(encoded, "pack-tokens", n=F.count_if(of_docs), total=F.sum(F.when(of_docs, F.col("tokens") - 1)))
     shared = docs.sparkSession.sparkContext.broadcast(corpus_stats(encoded))
-    routed = materialize(encoded.where(of_docs).mapInArrow(_route(shared), "doc_id long, tokens long, ids binary, near long, nearer long"), "pack-routed")
-    release(encoded)
-    order = ["near", "nearer", F.xxhash64("doc_id", "ids")]
-    return routed.repartitionByRange(*order).sortWithinPartitions(*order, "doc_id").select("doc_id", "tokens", "ids").mapInArrow(_mapper(shared), SCHEMA)
+    routed = encoded.where(of_docs).mapInArrow(_route(shared), "doc_id long, tokens long, ids binary, near long, nearer long")
+    # Dealt by the first term; what is too large for a task, as the copies of one text may be, is split as it is read.
+    order = ["near", "nearer", F.xxhash64("doc_id", "ids"), "doc_id"]
+    return routed.hint("rebalance", "near").sortWithinPartitions(*order).select("doc_id", "tokens", "ids").mapInArrow(_mapper(shared), SCHEMA)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
