@@ -1,11 +1,11 @@
 """Lexical retrieval packing: documents that share words fill a window together.
 
 Terms are pairs of neighbouring tokens, hashed to FEATURES values. One scan tokenizes the documents and counts, over all of
-them, in how many each term occurs, and their mean length. Then every document gets two terms of its own by weighted minima:
-of a fixed pseudo-random order in which a term comes early in proportion to its inverse document frequency, its first. Two
+them, in how many each term occurs, and their mean length. Then every document gets two of its terms by weighted minima: the
+first in either of two fixed pseudo-random orders in which a term comes early in proportion to its inverse document frequency. Two
 documents get the same one with a chance equal to the weight of the terms that they share, of all that either has; so
 neighbours gather when documents are dealt by the first of these terms, sorted by both, and cut, in this order, into shards of
-bounded size. A term that too many documents have for one task is split over several.
+bounded size. What is too large for one task is split over several.
 
 Each shard has a BM25 inverted index with the statistics of the whole corpus. The next unused document seeds a window; the
 unused documents of the shard follow by falling score for all of the seed's terms until the window is full, and documents in
@@ -79,20 +79,20 @@ def pairs_of(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The terms of documents, place by place, and the place of the document that each is of. The end token is of none."""
     sizes = np.array([len(d) for d in docs], np.int64)
     if not sizes.sum():
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint32), np.empty(0, np.int64)
     flat, ends = np.concatenate(docs).astype(np.uint64), np.cumsum(sizes)
     own = np.ones(len(flat), bool)
     own[ends - 1] = own[ends - 2] = False
     at = np.flatnonzero(own)
-    return mix64(flat[at] << np.uint64(32) | flat[at + 1]) >> np.uint64(64 - BITS), np.repeat(np.arange(len(docs)), sizes)[at]
+    return (mix64(flat[at] << np.uint64(32) | flat[at + 1]) >> np.uint64(64 - BITS)).astype(np.uint32), np.repeat(np.arange(len(docs)), sizes)[at]
 
 
 def postings(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Term, document and frequency, in this order, of up to 4096 documents: by one plain sort."""
     term, doc = pairs_of(docs)
-    every = np.sort(term << np.uint64(12) | doc.astype(np.uint64))
+    every = np.sort(term << np.uint32(12) | doc.astype(np.uint32))
     begin = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
-    return (every[begin] >> np.uint64(12)).astype(np.int64), (every[begin] & np.uint64(4095)).astype(np.int64), np.diff(np.r_[begin, len(every)])
+    return (every[begin] >> np.uint32(12)).astype(np.int64), (every[begin] & np.uint32(4095)).astype(np.int64), np.diff(np.r_[begin, len(every)])
 
 
 def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
