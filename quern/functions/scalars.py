@@ -26,14 +26,23 @@ def canonical_tier(c: Column) -> Column:
     return F.when(F.lower(F.trim(c)) == "tiny", "small").otherwise(F.lower(F.trim(c)))
 
 
-#: Words that mark a failed or missing measurement.
-OUT_OF_MEMORY = ("out of memory", "oom", "cannot allocate", "memoryerror", "std::bad_alloc")
-SENTINELS = ("timeout", "timed out", "unsupported", "skipped", "not run")
+#: What a note of a run out of memory holds, the tiers, and the variants that are measured.
+OUT_OF_MEMORY = ("oom", "out of memory", "memory limit", "cannot allocate", "bad_alloc", "bad allocation", "exited -9", "sigkill", "killed")
+TIERS = ("small", "medium", "large", "ood_large", "ood_xlarge", "ood_large1", "ood_large2", "ood_large3")
+VARIANTS = ("baseline", "patched")
 
 
-def failure_kind(note: Column) -> Column:
-    low = F.lower(F.coalesce(note, F.lit("")))
-    return F.when(low.rlike("|".join(map(re.escape, OUT_OF_MEMORY))), "oom").when(low.rlike("|".join(map(re.escape, SENTINELS))), "sentinel").otherwise("none")
+def out_of_memory(note: Column) -> Column:
+    return F.lower(F.coalesce(note, F.lit(""))).rlike("|".join(map(re.escape, OUT_OF_MEMORY)))
+
+
+def row_kind(sec: Column, variant: Column, tier: Column, note: Column) -> Column:
+    """measurement (seconds and a variant), oom or sentinel (neither, but a known tier and a note), else none. All are text."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    known = F.when(F.trim(tier) == "tiny", "small").otherwise(F.trim(tier)).isin(*TIERS)
+    sentinel = blank(sec) & blank(variant) & F.coalesce(known, F.lit(False)) & ~blank(note)
+    measured = ~blank(sec) & F.coalesce(F.trim(variant).isin(*VARIANTS), F.lit(False))
+    return F.when(measured, "measurement").when(sentinel & out_of_memory(note), "oom").when(sentinel, "sentinel").otherwise("none")
 
 
 _CLAUSE = re.compile(r"\s*([\w.-]+)\s*(>=|<=|!=|=|>|<)\s*(.+?)\s*$")

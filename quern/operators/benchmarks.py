@@ -1,6 +1,8 @@
 """Benchmark tables: repetitions of timed runs to finalized cells, gates, audits and costs.
 
-Runs are (task, dataset, platform, variant, threads, batch, sec, peak_mb, pass, ts); variant is baseline or patched.
+Runs are (task, dataset, platform, variant, threads, batch, sec, peak_mb, pass, ts); variant is baseline or patched. Raw runs, as
+finalize() takes them, have (task, tier, dataset, platform, cpu, variant, threads, rep, sec, peak_mb, pass, ts, note) as well; rows
+without sec are markers, by their note, of runs that ran out of memory or do not apply.
 """
 
 from __future__ import annotations
@@ -11,9 +13,20 @@ from pyspark.sql import functions as F
 
 from quern.operators.tables import keep_first
 from quern.registry import operator
+from quern.scratch import bounded, materialize
 
 CELL = ["task", "dataset", "platform", "variant", "threads"]
 NONE = "—"
+#: The ten columns that make a measurement the same one, and notes of rows without seconds.
+SIGNATURE = ["ts", "task", "tier", "rep", "variant", "sec", "peak_mb", "platform", "cpu", "threads"]
+OOM_NOTE, NA_NOTE = "oom", "na_applicable"
+SETUP = ["task", "tier", "platform", "dataset"]
+#: Limits of the scaling tax, of the progress bands, and zones around thresholds.
+SOFT, SOFT_XLARGE, HARD = 1.5, 2.0, 5.0
+STUCK_BELOW, PLATEAU_FROM, TERMINATE_FROM, NO_KEEP, LEAST_GAIN = 50.0, 95.0, 90.0, 10, 2.0
+DECISIONS = ("keep", "discard", "crash", "rollback", "oom")
+METRIC_ZONE, SPEED_ZONE = 0.05, 3.0
+PHASES = ("scaffold", "init", "iterate", "scaling", "package")
 
 
 @operator("G28", "G30", "G43", group="benchmarks")
@@ -90,7 +103,7 @@ def counter_difference(events: DataFrame, by: str, ts: str, value: str, low: Col
     return events.groupBy(by).agg(F.greatest(F.coalesce(last(F.col(ts) <= high), F.lit(0.0)) - F.coalesce(last(F.col(ts) < low), F.lit(0.0)), F.lit(0.0)).alias("used"))
 
 
-@operator("G41", "B10", group="benchmarks")
+@operator("G41", group="benchmarks")
 def inventory(items: DataFrame, listed: DataFrame, scope: str, name: str, size: str) -> DataFrame:
     """By scope: items and bytes, those not listed (orphans), and those listed but not there (missing). listed: (scope, name)."""
     both = items.select(scope, name, size, F.lit(1).alias("here")).join(listed.select(scope, name).distinct().withColumn("known", F.lit(1)), [scope, name], "full")
@@ -98,62 +111,94 @@ def inventory(items: DataFrame, listed: DataFrame, scope: str, name: str, size:
 
 
 @operator("G42", group="benchmarks")
-def decision_rounds(rows: DataFrame, by: str, label: str) -> DataFrame:
-    """By group: the distinct whole-number labels from 1 on, and one more than the largest number behind a label's last dash."""
+def decision_rounds(rows: DataFrame, by: str, label: str, phase: str | None = None, wanted: str = "optimize") -> DataFrame:
+    """By group: rows whose label is a whole number from 1 on, of the phase wanted (blank: optimize; wanted `all`: any); and for
+    the parent label of the labels `parent.k`, one more than the largest k of the group."""
     number = F.col(label).try_cast("int")
-    tail = F.element_at(F.split(label, "-"), -1).try_cast("int")
-    return rows.groupBy(by).agg(F.countDistinct(F.when(number >= 1, number)).alias("rounds"), (F.coalesce(F.max(tail), F.lit(0)) + 1).alias("next"))
+    tail = F.element_at(F.split(label, r"\."), -1).try_cast("int")
+    own = F.coalesce(F.nullif(F.trim(phase), F.lit("")), F.lit("optimize")) if phase else F.lit("optimize")
+    counted = (number >= 1) & (F.lit(wanted == "all") | (own == wanted))
+    return rows.groupBy(by).agg(F.count_if(counted).alias("rounds"), (F.coalesce(F.max(F.when(F.col(label).contains("."), tail)), F.lit(0)) + 1).alias("next"))
+
+
+def usable(raw: DataFrame) -> DataFrame:
+    """Rows with a variant and seconds, or a marker's note; with oom and na."""
+    note, unmeasured = F.lower(F.coalesce("note", F.lit(""))), F.col("sec").isNull()
+    marked = raw.withColumn("oom", unmeasured & note.contains(OOM_NOTE)).withColumn("na", unmeasured & note.contains(NA_NOTE))
+    return marked.where("variant is not null and (sec is not null or oom or na)")
 
 
 @operator("B2", group="benchmarks")
-def rescue_names(runs: DataFrame, within: float = 0.25) -> DataFrame:
-    """Runs without a dataset name take the one real name of their task and platform, if for every variant that has both the
-    medians differ by no more than `within`."""
+def rescue_names(rows: DataFrame, within: float = 0.25) -> DataFrame:
+    """Rows of usable() where those without a dataset take the first real name of their task, tier, threads and platform, if for
+    every variant that has both the medians differ by no more than `within` of the named one. Markers are not measured."""
+    cell = ["task", "tier", "threads", "platform"]
     blank = F.col("dataset") == NONE
-    meds = runs.groupBy("task", "platform", "variant").agg(F.median(F.when(blank, F.col("sec"))).alias("b"), F.median(F.when(~blank, F.col("sec"))).alias("r"), F.min(F.when(~blank, F.col("dataset"))).alias("low"), F.max(F.when(~blank, F.col("dataset"))).alias("high"))
-    fits = meds.groupBy("task", "platform").agg(F.coalesce(F.bool_and(F.abs(F.col("b") - F.col("r")) <= within * F.col("r")), F.lit(False)).alias("fits"), F.min("low").alias("low"), F.max("high").alias("high"))
-    name = fits.where("fits and low = high").select("task", "platform", F.col("low").alias("real"))
-    return runs.join(F.broadcast(name), ["task", "platform"], "left").withColumn("dataset", F.when(blank, F.coalesce("real", "dataset")).otherwise(F.col("dataset"))).drop("real")
+    name = F.min(F.when(~blank, F.struct("ts", "rep", "cpu", "dataset")))
+    meds = rows.where("not oom and not na").groupBy(*cell, "variant").agg(F.median(F.when(blank, F.col("sec"))).alias("b"), F.median(F.when(~blank, F.col("sec"))).alias("r"), name.alias("first"))
+    both = meds.where("b is not null and r is not null")
+    fits = both.groupBy(*cell).agg(F.bool_and(F.abs(F.col("b") - F.col("r")) <= within * F.col("r")).alias("fits"), F.min_by("first.dataset", "variant").alias("real"))
+    real = materialize(fits.where("fits").select(*[F.col(c).alias(f"__{c}") for c in cell], "real"), "names")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cell]
+    out = rows.join(bounded(real), same, "left").withColumn("dataset", F.when(blank, F.coalesce("real", "dataset")).otherwise(F.col("dataset")))
+    return out.drop("real", *[f"__{c}" for c in cell])
 
 
 @operator("B3", group="benchmarks")
-def pool_threads(runs: DataFrame, within: float = 0.10) -> DataFrame:
-    """Baselines of more threads count as one-thread runs (pooled) where their median lies within 10 % of the one-thread median."""
-    base = runs.where("variant = 'baseline'").groupBy("task", "dataset", "platform", "threads").agg(F.median("sec").alias("m"))
-    one = base.where("threads = 1").select("task", "dataset", "platform", F.col("m").alias("one"))
-    flat = base.join(one, ["task", "dataset", "platform"]).withColumn("flat", (F.col("threads") > 1) & (F.abs(F.col("m") - F.col("one")) <= within * F.col("one")))
-    return flat.select("task", "dataset", "platform", "threads", "m", "flat")
+def pool_threads(rows: DataFrame, reduced: DataFrame, flat: DataFrame | None = None, within: float = 0.10) -> DataFrame:
+    """Rows with thread_scaling: `flat` where platform and variant are in reduced or flat (platform, variant), else `scale`. Of the
+    reduced, by task, tier, dataset, platform and variant, runs of more threads whose median lies within 10 % of the one-thread
+    median count as one-thread runs, and the others are dropped; without one-thread seconds nothing changes. What is only
+    flat is not touched."""
+    cell = [*SETUP, "variant"]
+    listed = reduced.select("platform", "variant", F.lit(True).alias("__reduced"))
+    named = listed if flat is None else listed.unionByName(flat.select("platform", "variant", F.lit(False).alias("__reduced")))
+    marked = rows.join(named.groupBy("platform", "variant").agg(F.max("__reduced").alias("__reduced")), ["platform", "variant"], "left")
+    meds = marked.where("__reduced").groupBy(*cell, "threads").agg(F.median("sec").alias("__m"))
+    one = meds.where("threads = 1 and __m > 0").select(*cell, F.col("__m").alias("__one"))
+    verdict = meds.where("threads <> 1").join(one, cell).select(*cell, "threads", F.coalesce(F.abs(F.col("__m") / F.col("__one") - 1) <= within, F.lit(False)).alias("__pooled"))
+    got = marked.join(verdict, [*cell, "threads"], "left").where("__pooled is null or __pooled")
+    got = got.withColumn("threads", F.when(F.col("__pooled"), 1).otherwise(F.col("threads"))).withColumn("thread_scaling", F.when(F.col("__reduced").isNotNull(), "flat").otherwise("scale"))
+    return got.drop("__reduced", "__pooled")
 
 
 @operator("B4", "J7", group="benchmarks")
-def effective_baseline(runs: DataFrame, within: float = 0.10) -> DataFrame:
-    """Patched cells with their baseline: the median of the pooled runs if any thread count is flat, else the mean at the same
-    threads, else the mean at one thread; and the speed-up."""
-    keys = ["task", "dataset", "platform"]
-    flat = pool_threads(runs, within).where("flat").select(*keys, F.col("threads"))
-    base = runs.where("variant = 'baseline'")
-    pooled = base.where("threads = 1").unionByName(base.join(flat, [*keys, "threads"], "left_semi")).join(flat.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.median("sec").alias("pooled"))
-    same = base.groupBy(*keys, "threads").agg(F.avg("sec").alias("same"))
-    one = same.where("threads = 1").select(*keys, F.col("same").alias("one"))
-    cells = runs.where("variant = 'patched'").groupBy(*keys, "threads").agg(F.avg("sec").alias("sec"))
-    got = cells.join(pooled, keys, "left").join(same, [*keys, "threads"], "left").join(one, keys, "left").withColumn("baseline", F.coalesce("pooled", "same", "one"))
-    return got.select(*keys, "threads", "sec", "baseline", (F.col("baseline") / F.col("sec")).alias("speedup"))
+def effective_baseline(rows: DataFrame) -> DataFrame:
+    """Rows of pool_threads() with baseline, and for patched ones speedup. The baseline is the median over all baseline runs of task,
+    tier, platform and dataset if any of them is flat; else the mean at the same threads, else the mean at one thread."""
+    base = rows.where("variant = 'baseline'")
+    same = base.groupBy(*SETUP, "threads").agg(F.avg("sec").alias("same"))
+    pooled = base.groupBy(*SETUP).agg(F.median("sec").alias("pooled"), F.max(F.col("thread_scaling") == "flat").alias("flat"), F.avg(F.when(F.col("threads") == 1, F.col("sec"))).alias("one"))
+    got = rows.join(same, [*SETUP, "threads"], "left").join(pooled, SETUP, "left")
+    got = got.withColumn("baseline", F.coalesce(F.when(F.col("flat"), F.col("pooled")), "same", "one")).drop("same", "pooled", "flat", "one")
+    return got.withColumn("speedup", F.when((F.col("variant") == "patched") & (F.col("baseline") > 0), F.try_divide("baseline", "sec")))
 
 
 @operator("B5", group="benchmarks")
-def drop_nameless(cells: DataFrame) -> DataFrame:
-    """Without rows of no dataset where the task and platform have a real one."""
-    named = F.max((F.col("dataset") != NONE).cast("int")).over(W.partitionBy("task", "platform"))
+def drop_nameless(cells: DataFrame, by: tuple[str, ...] = ("task", "platform")) -> DataFrame:
+    """Without rows of no dataset where the same `by` has a real one."""
+    named = F.max((F.col("dataset") != NONE).cast("int")).over(W.partitionBy(*by))
     return cells.withColumn("__n", named).where((F.col("dataset") != NONE) | (F.col("__n") == 0)).drop("__n")
 
 
 @operator("B1", "SRC10", group="benchmarks")
-def finalize(runs: DataFrame) -> DataFrame:
-    """First of repeated rows, names rescued, nameless rows dropped, baselines found: the finalized table of patched cells."""
-    once = keep_first(runs, ["task", "dataset", "platform", "variant", "threads", "ts", "sec"], [F.asc("batch"), F.asc("peak_mb")])
-    named = drop_nameless(rescue_names(once))
-    cells = finalize_cells(named).where("variant = 'patched'").drop("variant")
-    return cells.join(effective_baseline(named).select("task", "dataset", "platform", "threads", "baseline", "speedup"), ["task", "dataset", "platform", "threads"], "left")
+def finalize(raw: DataFrame, reduced: DataFrame, flat: DataFrame | None = None) -> DataFrame:
+    """The finalized table: usable rows, the first of each signature, names rescued, threads pooled, baselines found; by task, tier,
+    threads, platform, dataset and variant the status (N/A, OOM, partial, ok), runs, times, speed-ups and pass rate; rows of no
+    dataset dropped where the same task, tier, threads and platform has a real one. Speed-ups and pass rate are of patched
+    cells only. What the rules read several times is written once."""
+    once = keep_first(usable(raw), SIGNATURE, [F.asc("dataset"), F.asc("note")])
+    rows = materialize(rescue_names(materialize(once, "runs")), "named")
+    rows = effective_baseline(materialize(pool_threads(rows, reduced, flat), "pooled"))
+    ok, patched = ~F.col("oom") & ~F.col("na"), F.col("variant") == "patched"
+    of = lambda c: F.when(ok, F.col(c))
+    status = F.when(F.bool_and("na"), "N/A").when(F.bool_and("oom"), "OOM").when(F.bool_or(~ok), "partial").otherwise("ok")
+    cells = rows.groupBy("task", "tier", "threads", "platform", "dataset", "variant").agg(
+        status.alias("status"), F.count_if(ok).alias("n_reps"), F.avg(of("sec")).alias("sec_mean"), F.median(of("sec")).alias("sec_median"), F.avg(of("peak_mb")).alias("mem_mean"), F.median(of("peak_mb")).alias("mem_median"),
+        F.avg(of("speedup")).alias("speedup_mean"), F.median(of("speedup")).alias("speedup_median"), F.avg(F.when(ok & patched, F.coalesce("pass", F.lit(False)).cast("double"))).alias("pass_rate"),
+        F.min("ts").alias("ts_first"), F.max("ts").alias("ts_last"), F.min("thread_scaling").alias("thread_scaling"),
+    )
+    return drop_nameless(cells, ("task", "tier", "threads", "platform"))
 
 
 @operator("B6", group="benchmarks")
@@ -165,11 +210,15 @@ def against_batch(runs: DataFrame) -> DataFrame:
 
 
 @operator("B7", group="benchmarks")
-def fill_dataset(runs: DataFrame, shunned: str = "_60k") -> DataFrame:
-    """Rows without a dataset take one of their batch and task: the smallest name, those that end in `shunned` last."""
+def fill_dataset(rows: DataFrame, shunned: str = "_60k") -> DataFrame:
+    """Rows without a dataset take one of their batch (time, tier, threads, task): its only name; where it has several, rows whose note
+    begins `migrated:` take the smallest, those that end in `shunned` last, and others none."""
+    batch = W.partitionBy("ts", "tier", "threads", "task")
     real = F.col("dataset") != NONE
-    best = F.min(F.when(real, F.struct(F.col("dataset").endswith(shunned).alias("s"), F.col("dataset").alias("d")))).over(W.partitionBy("batch", "task"))
-    return runs.withColumn("__b", best).withColumn("dataset", F.when(real, F.col("dataset")).otherwise(F.coalesce("__b.d", "dataset"))).drop("__b")
+    named = F.when(real, F.struct(F.col("dataset").endswith(shunned).alias("s"), F.col("dataset").alias("d")))
+    got = rows.withColumn("__b", F.min(named).over(batch)).withColumn("__low", F.min(F.when(real, F.col("dataset"))).over(batch)).withColumn("__high", F.max(F.when(real, F.col("dataset"))).over(batch))
+    take = F.when(F.col("__low") == F.col("__high"), F.col("__low")).when(F.trim("note").startswith("migrated:"), F.col("__b.d"))
+    return got.withColumn("dataset", F.when(real, F.col("dataset")).otherwise(F.coalesce(take, "dataset"))).drop("__b", "__low", "__high")
 
 
 @operator("B8", "P17", "W20", group="benchmarks")
@@ -219,20 +268,37 @@ def backfill_plan(runs: DataFrame, wanted: int = 3) -> DataFrame:
 
 @operator("B12", "B14", group="benchmarks")
 def gate(value: Column, comparator: Column, threshold: Column, noise: Column | None = None) -> Column:
-    """PASS, BORDERLINE (within 5 % of the threshold) or FAIL; with noise, the threshold is loosened by three times it."""
+    """PASS, FAIL, or BORDERLINE: a pass within 5 % of the threshold, of the room 1 - threshold for gte and of the threshold for lte;
+    there is none where that room is nothing. With noise, the threshold is first loosened by three times it."""
     loose = threshold if noise is None else F.when(comparator == "lte", threshold * (1 + 3 * noise)).otherwise(threshold * (1 - 3 * noise))
-    ok = F.when(comparator == "lte", value <= loose).otherwise(value >= loose)
-    return F.when(value.isNull(), "FAIL").when(F.abs(value - loose) <= 0.05 * F.abs(loose), "BORDERLINE").when(ok, "PASS").otherwise("FAIL")
+    room = F.greatest(F.when(comparator == "lte", F.abs(loose)).otherwise(1 - loose), F.lit(1e-6))
+    margin = F.when(comparator == "lte", loose - value).otherwise(value - loose)
+    return F.when(value.isNull() | (margin < 0), "FAIL").when((room > 1e-5) & (margin / room < METRIC_ZONE), "BORDERLINE").otherwise("PASS")
+
+
+@operator("B14", group="benchmarks")
+def speed_borderline(change_pct: Column, cv: Column, times: float = SPEED_ZONE) -> Column:
+    """Whether a change in percent is within so many times the calibrated coefficient of variation; not without one."""
+    return F.coalesce((cv > 0) & (F.abs(change_pct) < times * cv * 100), F.lit(False))
 
 
 @operator("B13", "J9", group="benchmarks")
-def scaling_tax(cells: DataFrame, geo: DataFrame) -> DataFrame:
-    """Cells (task, threads, speedup) beside the geometric mean at their threads, or overall: PASS from 90 % of it, SOFT from
-    60 %, HARD above 0, else ZERO."""
-    total = geo.where("threads is null").select(F.col("geomean").alias("overall"))
-    got = cells.join(F.broadcast(geo.where("threads is not null").select("threads", "geomean")), "threads", "left").join(F.broadcast(total)).withColumn("expected", F.coalesce("geomean", "overall")).withColumn("share", F.col("speedup") / F.col("expected"))
-    grade = F.when(F.col("share") >= 0.9, "PASS").when(F.col("share") >= 0.6, "SOFT").when(F.col("share") > 0, "HARD").otherwise("ZERO")
-    return got.select("task", "threads", "speedup", "expected", "share", grade.alias("grade"))
+def scaling_tax(cells: DataFrame) -> DataFrame:
+    """Cells of tiers ood_* of (tier, threads, baseline, sec, oom) beside the geometric mean factor (baseline / sec) of the other tiers
+    at the same threads, or of all threads where there is none: tax = that mean over the cell's factor. PASS below 1.5 (2 for
+    ood_xlarge), SOFT below 5, HARD from 5 on, ZERO without a factor. Cells out of memory are left out; no factors of other
+    tiers, no rows."""
+    factor = F.when((F.col("baseline") > 0) & (F.col("sec") > 0), F.col("baseline") / F.col("sec"))
+    measured = cells.where("not coalesce(oom, false)").withColumn("factor", factor)
+    dev = measured.where(~F.col("tier").startswith("ood_") & F.col("factor").isNotNull())
+    geo = dev.groupingSets([["threads"], []], "threads").agg(F.exp(F.avg(F.ln("factor"))).alias("geo"), F.grouping("threads").alias("every"))
+    whole = geo.where("every = 1 and geo is not null").select(F.col("geo").alias("overall"))
+    got = measured.where(F.col("tier").startswith("ood_")).join(geo.where("every = 0").select("threads", "geo"), "threads", "left").crossJoin(F.broadcast(whole))
+    got = got.withColumn("dev_reference", F.coalesce("geo", "overall")).withColumn("reference_kind", F.when(F.col("geo").isNull(), "fallback_global").otherwise("thread_matched"))
+    got = got.withColumn("tax", F.coalesce(F.col("dev_reference") / F.col("factor"), F.lit(float("inf"))))
+    soft = F.when(F.col("tier") == "ood_xlarge", SOFT_XLARGE).otherwise(SOFT)
+    verdict = F.when(F.col("factor").isNull(), "ZERO").when(F.col("tax") >= HARD, "HARD").when(F.col("tax") >= soft, "SOFT").otherwise("PASS")
+    return got.select(*cells.columns, "factor", "tax", verdict.alias("verdict"), "dev_reference", "reference_kind")
 
 
 @operator("B15", "W22", group="benchmarks")
@@ -249,15 +315,47 @@ def migrate_columns(df: DataFrame, target: list[str], defaults: dict) -> DataFra
 
 
 @operator("W21", group="benchmarks")
-def progress(rows: DataFrame, by: str, place: str, status: str, value: str) -> DataFrame:
-    """By group: rows since the last kept one, the best of the last ten against the best before, and a band."""
-    n = F.row_number().over(W.partitionBy(by).orderBy(F.desc(place)))
-    got = rows.withColumn("__n", n).groupBy(by).agg(F.coalesce(F.min(F.when(F.col(status) == "keep", F.col("__n") - 1)), F.count("*")).alias("since_keep"), F.min(F.when(F.col("__n") <= 10, F.col(value))).alias("late"), F.min(F.when(F.col("__n") > 10, F.col(value))).alias("early"))
-    gain = (F.col("early") - F.col("late")) / F.col("early")
-    return got.select(by, "since_keep", gain.alias("gain"), F.when(F.col("since_keep") >= 8, "stalled").when(F.coalesce(gain, F.lit(1.0)) < 0.02, "slow").otherwise("moving").alias("band"))
-
-
-@operator("B20", "K9", group="benchmarks")
+def progress(rows: DataFrame, by: str, place: str) -> DataFrame:
+    """By group of (round, status, phase, speedup_pct): best_keep (of kept rows; groups without are left out), regime
+    (late_plateau from 95, early_stuck below 50, else middle), tail (decisions since the last kept one), gain (best of the last ten
+    decisions less the best before, from ten on) and band: escalate below 50 after ten decisions without a keep; decide below 90,
+    else terminate, after ten without or where the gain is below 2. Only the phase optimize counts (blank: optimize); decisions
+    have a status of DECISIONS and a round from 1 on."""
+    own = rows.where(F.coalesce(F.nullif(F.trim("phase"), F.lit("")), F.lit("optimize")) == "optimize")
+    kept = own.where("status = 'keep'").groupBy(by).agg(F.max("speedup_pct").alias("best_keep")).where("best_keep is not null")
+    made = own.where(F.col("status").isin(*DECISIONS) & (F.col("round").try_cast("double").cast("int") > 0)).withColumn("__n", F.row_number().over(W.partitionBy(by).orderBy(F.desc(place))))
+    pct = lambda when: F.max(F.when(when, F.col("speedup_pct")))
+    tails = made.groupBy(by).agg(F.coalesce(F.min(F.when(F.col("status") == "keep", F.col("__n") - 1)), F.count("*")).alias("tail"), F.count("*").alias("n"), (pct(F.col("__n") <= NO_KEEP) - pct(F.col("__n") > NO_KEEP)).alias("gain"))
+    got = kept.join(tails.withColumn("gain", F.when(F.col("n") >= NO_KEEP, F.col("gain"))).drop("n"), by)
+    regime = F.when(F.col("best_keep") >= PLATEAU_FROM, "late_plateau").when(F.col("best_keep") < STUCK_BELOW, "early_stuck").otherwise("middle")
+    dry = F.col("tail") >= NO_KEEP
+    small = dry | F.coalesce(F.col("gain") < LEAST_GAIN, F.lit(False))
+    band = F.when(F.col("best_keep") < STUCK_BELOW, F.when(dry, "escalate")).when(F.col("best_keep") < TERMINATE_FROM, F.when(small, "decide")).otherwise(F.when(small, "terminate"))
+    return got.select(by, "best_keep", regime.alias("regime"), "tail", "gain", band.alias("band"))
+
+
+@operator("B20", group="benchmarks")
+def lifecycle(tasks: DataFrame, by: str) -> DataFrame:
+    """By task, from what was found of it: the last phase of PHASES that is done (`unknown` if none) and the earlier ones that are not.
+
+    tasks: (configured, datasets, references, pipeline, evaluation, rounds, best, round_kept, ood_tiers, verified, patched): flags, and
+    numbers of datasets, decision rounds, ood tiers and verified rows.
+    """
+    done = F.array(
+        F.col("configured"),
+        F.col("configured") & (F.col("datasets") >= 3) & F.col("references") & F.col("pipeline") & F.col("evaluation"),
+        (F.col("rounds") >= 1) & F.col("best") & F.col("round_kept"),
+        (F.col("ood_tiers") > 0) & (F.col("verified") >= 1),
+        F.col("patched"),
+    )
+    last = F.array_max(F.transform(done, lambda d, i: F.when(d, i + 1).otherwise(0)))
+    names = F.array(*map(F.lit, PHASES))
+    gaps = F.filter(F.transform(done, lambda d, i: F.when(~d & (i + 1 < F.col("__last")), F.element_at(names, i + 1))), lambda x: x.isNotNull())
+    got = tasks.withColumn("__last", last)
+    return got.select(by, F.when(F.col("__last") > 0, F.try_element_at(names, F.col("__last"))).otherwise("unknown").alias("phase"), F.array_join(gaps, ",").alias("gaps"))
+
+
+@operator("B20", group="benchmarks")
 def categorize(text: Column, rules: list[tuple[str, str]], default: str = "other") -> Column:
     """The first category whose pattern occurs in the text, case aside."""
     out = F

@@ -27,19 +27,16 @@ def timing_summary(t):
     return b.timing_summary(_runs(t), ["task", "threads"]).withColumns({c: r(c) for c in ("mean", "sd", "cv")})
 
 
-JSON = "SELECT l_suppkey AS k, '{\"wall\": ' || CAST(l_quantity AS INT) || ', \"cpu\": ' || (l_linenumber - 1) || ', \"note\": \"x\"}' AS j FROM lineitem WHERE l_linenumber < 4"
-
-
 def _json(t):
-    return t.lineitem.where("l_linenumber < 4").select(F.col("l_suppkey").alias("k"), F.format_string('{"wall": %d, "cpu": %d, "note": "x"}', F.col("l_quantity").cast("int"), F.col("l_linenumber") - 1).alias("j"))
+    return t.lineitem.select(F.col("l_suppkey").alias("k"), F.format_string('{"wall": %d, "cpu": %d, "note": "x"}', F.col("l_quantity").cast("int"), F.col("l_linenumber") - 1).alias("j"))
 
 
-@query("G29", sql="SELECT l_suppkey AS k, round(CASE WHEN count(q) >= 2 THEN median(q) END, 6) AS ratio FROM (SELECT l_suppkey, CASE WHEN l_linenumber > 1 THEN l_quantity / (l_linenumber - 1) END AS q FROM lineitem WHERE l_linenumber < 4) GROUP BY 1")
+@query("G29", sql="SELECT l_suppkey AS k, round(CASE WHEN count(q) >= 2 THEN median(q) END, 6) AS ratio FROM (SELECT l_suppkey, CASE WHEN l_linenumber > 1 THEN l_quantity / (l_linenumber - 1) END AS q FROM lineitem) GROUP BY 1")
 def metric_ratio(t):
     return b.metric_ratio(_json(t), ["k"], "j", "wall", "cpu").withColumn("ratio", r("ratio"))
 
 
-@query("G34", "SRC12", sql="SELECT l_suppkey AS k, 'wall' AS key, round(median(l_quantity), 6) AS median FROM lineitem WHERE l_linenumber < 4 GROUP BY 1 UNION ALL SELECT l_suppkey, 'cpu', round(median(l_linenumber - 1), 6) FROM lineitem WHERE l_linenumber < 4 GROUP BY 1")
+@query("G34", "SRC12", sql="SELECT l_suppkey AS k, 'wall' AS key, round(median(l_quantity), 6) AS median FROM lineitem GROUP BY 1 UNION ALL SELECT l_suppkey, 'cpu', round(median(l_linenumber - 1), 6) FROM lineitem GROUP BY 1")
 def metric_medians(t):
     return b.metric_medians(_json(t), ["k"], "j")
 
@@ -80,7 +77,7 @@ def active_minutes(t):
 WITH o AS (SELECT user_id % 9 AS k, ts, event_id % 50 AS i, max(value) AS value, max(event_type) AS event_type FROM events GROUP BY ALL), p AS (SELECT k, event_type, count(*) AS n, sum(value) AS a FROM o GROUP BY ALL)
 SELECT k, round(sum(a), 4) AS amount, arg_min(event_type, (-n, event_type)) AS dominant, round(sum(a * CASE event_type WHEN 'click' THEN 2.0 WHEN 'view' THEN 0.5 ELSE 0 END), 4) AS cost FROM p GROUP BY k""")
 def usage_totals(t):
-    prices = t.spark.createDataFrame([("click", 2.0), ("view", 0.5)], "event_type string, price double")
+    prices = t.spark.sql("SELECT * FROM VALUES ('click', 2.0D), ('view', 0.5D) AS p(event_type, price)")
     events = t.events.withColumn("k", F.col("user_id") % 9).withColumn("i", F.col("event_id") % 50)
     return b.usage_totals(events, "k", ["ts", "i"], "event_type", "value", prices).select("k", r("amount", 4).alias("amount"), "dominant", r("cost", 4).alias("cost"))
 
@@ -94,7 +91,7 @@ def counter_difference(t):
     return b.counter_difference(events, "k", "at", "value", F.col("m") * 0.2, F.col("m") * 0.8).withColumn("used", r("used"))
 
 
-@query("G41", "B10", "SRC14", sql="""
+@query("G41", "SRC14", sql="""
 WITH i AS (SELECT p_brand AS s, p_partkey AS n, p_size AS z FROM part WHERE p_partkey % 3 <> 0), l AS (SELECT p_brand AS s, p_partkey AS n FROM part WHERE p_partkey % 4 <> 0)
 SELECT coalesce(i.s, l.s) AS s, count(i.n) AS items, CAST(coalesce(sum(z), 0) AS DOUBLE) AS bytes, count(*) FILTER (l.n IS NULL) AS orphans, count(*) FILTER (i.n IS NULL) AS missing FROM i FULL JOIN l ON i.s = l.s AND i.n = l.n GROUP BY 1""")
 def inventory(t):
@@ -102,39 +99,71 @@ def inventory(t):
     return b.inventory(part.where("n % 3 <> 0"), part.where("n % 4 <> 0"), "s", "n", "z")
 
 
-@query("G42", sql="SELECT o_orderstatus AS k, count(DISTINCT CASE WHEN o_custkey % 12 >= 1 THEN o_custkey % 12 END) FILTER (o_custkey % 2 = 0) AS rounds, 12 AS next FROM orders GROUP BY 1")
+@query("G42", sql="SELECT o_orderstatus AS k, count(*) FILTER (o_custkey % 2 = 0 AND o_custkey % 12 >= 1 AND o_orderkey % 3 < 2) AS rounds, coalesce(max(o_custkey % 12) FILTER (o_custkey % 2 = 1), 0) + 1 AS next FROM orders GROUP BY 1")
 def decision_rounds(t):
-    label = F.expr("if(o_custkey % 2 = 0, cast(o_custkey % 12 as string), concat('rerun-', o_custkey % 12))")
-    return b.decision_rounds(t.orders.select(F.col("o_orderstatus").alias("k"), label.alias("label")), "k", "label")
+    label = F.expr("if(o_custkey % 2 = 0, cast(o_custkey % 12 as string), concat('7.', o_custkey % 12))")
+    phase = F.expr("case o_orderkey % 3 when 0 then '' when 1 then 'optimize' else 'validate' end")
+    return b.decision_rounds(t.orders.select(F.col("o_orderstatus").alias("k"), label.alias("label"), phase.alias("phase")), "k", "label", "phase")
+
+
+#: Raw runs: blank and changed names, markers without seconds, reps that repeat.
+RAW = """raw AS (SELECT 'task' || (l_suppkey % 3) AS task, CASE l_partkey % 4 WHEN 0 THEN 'small' WHEN 1 THEN 'medium' WHEN 2 THEN 'ood_large' ELSE 'ood_xlarge' END AS tier,
+  CASE WHEN l_partkey % 11 = 0 THEN '—' WHEN l_partkey % 7 = 0 THEN 'ds' || (l_partkey % 4) || '_60k' ELSE 'ds' || (l_partkey % 4) END AS dataset, CASE l_orderkey % 3 WHEN 0 THEN 'mac' WHEN 1 THEN 'win' ELSE 'linux' END AS platform,
+  'cpu' || (l_orderkey % 2) AS cpu, CASE WHEN l_linenumber % 2 = 0 THEN 'baseline' ELSE 'patched' END AS variant, CAST(CASE (l_orderkey // 3) % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 8 END AS INT) AS threads, l_linenumber AS rep,
+  CASE WHEN l_tax < 75e-3 OR l_discount < 75e-3 THEN 1 + floor(l_quantity / 10) + CASE WHEN l_linenumber % 2 = 0 THEN 10 ELSE 0 END + CASE WHEN l_linenumber % 2 = 0 AND (l_orderkey // 3) % 3 = 2 AND l_partkey % 11 > 0 THEN 20 ELSE 0 END END AS sec, l_extendedprice AS peak_mb, l_discount < 0.09 AS pass, date_trunc('month', l_shipdate) AS ts,
+  CASE WHEN l_tax < 75e-3 OR l_discount < 75e-3 THEN CASE WHEN l_partkey % 22 = 0 THEN 'migrated: old' ELSE '' END WHEN l_suppkey % 2 = 0 THEN 'OOM at fit' WHEN l_partkey % 5 = 0 THEN 'crash' ELSE 'na_applicable' END AS note FROM lineitem)"""
+
+
+def _raw(t):
+    fails = "not (l_tax < 75e-3 or l_discount < 75e-3)"
+    return t.lineitem.selectExpr(
+        "concat('task', l_suppkey % 3) as task", "element_at(array('small', 'medium', 'ood_large', 'ood_xlarge'), cast(l_partkey % 4 + 1 as int)) as tier",
+        "case when l_partkey % 11 = 0 then '—' when l_partkey % 7 = 0 then concat('ds', l_partkey % 4, '_60k') else concat('ds', l_partkey % 4) end as dataset", "element_at(array('mac', 'win', 'linux'), cast(l_orderkey % 3 + 1 as int)) as platform",
+        "concat('cpu', l_orderkey % 2) as cpu", "if(l_linenumber % 2 = 0, 'baseline', 'patched') as variant", "element_at(array(1, 4, 8), cast((l_orderkey div 3) % 3 + 1 as int)) as threads", "l_linenumber as rep",
+        f"if({fails}, null, double(1 + floor(l_quantity / 10) + if(l_linenumber % 2 = 0, 10, 0) + if(l_linenumber % 2 = 0 and (l_orderkey div 3) % 3 = 2 and l_partkey % 11 > 0, 20, 0))) as sec", "l_extendedprice as peak_mb", "l_discount < 0.09 as pass", "date_trunc('month', l_shipdate) as ts",
+        f"case when not ({fails}) then if(l_partkey % 22 = 0, 'migrated: old', '') when l_suppkey % 2 = 0 then 'OOM at fit' when l_partkey % 5 = 0 then 'crash' else 'na_applicable' end as note",
+    )
 
 
-RESCUED = f"""{RUNS}, md AS (SELECT task, platform, variant, median(sec) FILTER (dataset = '—') AS bl, median(sec) FILTER (dataset <> '—') AS re, min(dataset) FILTER (dataset <> '—') AS lo, max(dataset) FILTER (dataset <> '—') AS hi FROM runs GROUP BY ALL),
-ft AS (SELECT task, platform, coalesce(bool_and(abs(bl - re) <= 0.25 * re), false) AS fits, min(lo) AS lo, max(hi) AS hi FROM md GROUP BY ALL),
-rescued AS (SELECT runs.* REPLACE (CASE WHEN dataset = '—' AND fits AND lo = hi THEN lo ELSE dataset END AS dataset) FROM runs LEFT JOIN ft USING (task, platform))"""
+def _listed(t):
+    """Platforms and variants whose threads are reduced, and that are only labelled flat."""
+    return t.spark.sql("SELECT * FROM VALUES ('mac', 'baseline'), ('win', 'baseline'), ('win', 'patched') AS x(platform, variant)"), t.spark.sql("SELECT 'linux' AS platform, 'patched' AS variant")
 
 
-@query("B2", sql=f"WITH {RESCUED} SELECT task, platform, dataset, count(*) AS n FROM rescued GROUP BY ALL")
-def rescue_names(t):
-    return b.rescue_names(_runs(t)).groupBy("task", "platform", "dataset").agg(F.count("*").alias("n"))
+def _usable(source: str) -> str:
+    return f"us AS (SELECT * FROM (SELECT *, sec IS NULL AND lower(note) LIKE '%oom%' AS oom, sec IS NULL AND lower(note) LIKE '%na_applicable%' AS na FROM {source}) WHERE sec IS NOT NULL OR oom OR na)"
+
+
+def _rescued(source: str) -> str:
+    return f"""md AS (SELECT task, tier, threads, platform, variant, median(sec) FILTER (dataset = '—') AS bl, median(sec) FILTER (dataset <> '—') AS re, min((ts, rep, cpu, dataset)) FILTER (dataset <> '—') AS f FROM {source} WHERE NOT oom AND NOT na GROUP BY ALL),
+ft AS (SELECT task, tier, threads, platform, bool_and(abs(bl - re) <= 0.25 * re) AS fits, arg_min(f[4], variant) AS real FROM md WHERE bl IS NOT NULL AND re IS NOT NULL GROUP BY ALL),
+rs AS (SELECT u.* REPLACE (CASE WHEN dataset = '—' AND fits THEN real ELSE dataset END AS dataset) FROM {source} u LEFT JOIN ft USING (task, tier, threads, platform))"""
 
 
-def _base(source: str) -> str:
-    return f"""bm AS (SELECT task, dataset, platform, threads, median(sec) AS m FROM {source} WHERE variant = 'baseline' GROUP BY ALL),
-fl AS (SELECT a.task, a.dataset, a.platform, a.threads, a.m, a.threads > 1 AND abs(a.m - o.m) <= 0.1 * o.m AS flat FROM bm a JOIN bm o ON a.task = o.task AND a.dataset = o.dataset AND a.platform = o.platform AND o.threads = 1),
-po AS (SELECT r.task, r.dataset, r.platform, median(sec) AS pooled FROM {source} r WHERE variant = 'baseline' AND (task, dataset, platform) IN (SELECT (task, dataset, platform) FROM fl WHERE flat) AND (threads = 1 OR (task, dataset, platform, threads) IN (SELECT (task, dataset, platform, threads) FROM fl WHERE flat)) GROUP BY ALL),
-sa AS (SELECT task, dataset, platform, threads, avg(sec) AS same FROM {source} WHERE variant = 'baseline' GROUP BY ALL),
-eb AS (SELECT c.task, c.dataset, c.platform, c.threads, c.sec, coalesce(pooled, s.same, o.same) AS baseline FROM (SELECT task, dataset, platform, threads, avg(sec) AS sec FROM {source} WHERE variant = 'patched' GROUP BY ALL) c
-  LEFT JOIN po USING (task, dataset, platform) LEFT JOIN sa s USING (task, dataset, platform, threads) LEFT JOIN sa o ON o.task = c.task AND o.dataset = c.dataset AND o.platform = c.platform AND o.threads = 1)"""
+def _pooled(source: str) -> str:
+    return f"""mk AS (SELECT *, (platform, variant) IN (('mac', 'baseline'), ('win', 'baseline'), ('win', 'patched')) AS reduced FROM {source}),
+tm AS (SELECT task, tier, platform, dataset, variant, threads, median(sec) AS m FROM mk WHERE reduced GROUP BY ALL),
+vd AS (SELECT a.task, a.tier, a.platform, a.dataset, a.variant, a.threads, coalesce(abs(a.m / o.m - 1) <= 0.1, false) AS pooled FROM tm a JOIN tm o ON o.threads = 1 AND o.m > 0 AND a.threads <> 1 AND a.task = o.task AND a.tier = o.tier AND a.platform = o.platform AND a.dataset = o.dataset AND a.variant = o.variant),
+po AS (SELECT * EXCLUDE (reduced, pooled) REPLACE (CAST(CASE WHEN pooled THEN 1 ELSE threads END AS INT) AS threads), CASE WHEN reduced OR platform = 'linux' AND variant = 'patched' THEN 'flat' ELSE 'scale' END AS thread_scaling FROM mk LEFT JOIN vd USING (task, tier, platform, dataset, variant, threads) WHERE coalesce(pooled, true)),
+sa AS (SELECT task, tier, platform, dataset, threads, avg(sec) AS same FROM po WHERE variant = 'baseline' GROUP BY ALL),
+al AS (SELECT task, tier, platform, dataset, median(sec) AS every, bool_or(thread_scaling = 'flat') AS is_flat, avg(sec) FILTER (threads = 1) AS one FROM po WHERE variant = 'baseline' GROUP BY ALL),
+eb AS (SELECT *, CASE WHEN variant = 'patched' AND baseline > 0 THEN baseline / sec END AS speedup FROM (SELECT po.*, coalesce(CASE WHEN is_flat THEN every END, same, one) AS baseline FROM po LEFT JOIN sa USING (task, tier, platform, dataset, threads) LEFT JOIN al USING (task, tier, platform, dataset)))"""
 
 
-@query("B3", sql=f"WITH {RUNS}, {_base('runs')} SELECT task, dataset, platform, threads, m, flat FROM fl")
+@query("B2", sql=f"WITH {RAW}, {_usable('raw')}, {_rescued('us')} SELECT task, tier, threads, platform, dataset, count(*) AS n FROM rs GROUP BY ALL")
+def rescue_names(t):
+    return b.rescue_names(b.usable(_raw(t))).groupBy("task", "tier", "threads", "platform", "dataset").agg(F.count("*").alias("n"))
+
+
+@query("B3", sql=f"WITH {RAW}, {_usable('raw')}, {_pooled('us')} SELECT task, tier, dataset, platform, variant, threads, thread_scaling, count(*) AS n FROM po GROUP BY ALL")
 def pool_threads(t):
-    return b.pool_threads(_runs(t))
+    return b.pool_threads(b.usable(_raw(t)), *_listed(t)).groupBy("task", "tier", "dataset", "platform", "variant", "threads", "thread_scaling").agg(F.count("*").alias("n"))
 
 
-@query("B4", "J7", sql=f"WITH {RUNS}, {_base('runs')} SELECT task, dataset, platform, threads, round(sec, 6) AS sec, round(baseline, 6) AS baseline, round(baseline / sec, 6) AS speedup FROM eb")
+@query("B4", "J7", sql=f"WITH {RAW}, {_usable('raw')}, {_pooled('us')} SELECT task, tier, dataset, platform, threads, variant, count(*) AS n, round(min(baseline), 6) AS baseline, round(avg(speedup), 6) AS speedup FROM eb GROUP BY ALL")
 def effective_baseline(t):
-    return b.effective_baseline(_runs(t)).withColumns({c: r(c) for c in ("sec", "baseline", "speedup")})
+    got = b.effective_baseline(b.pool_threads(b.usable(_raw(t)), *_listed(t))).groupBy("task", "tier", "dataset", "platform", "threads", "variant").agg(F.count("*").alias("n"), F.min("baseline").alias("baseline"), F.avg("speedup").alias("speedup"))
+    return got.withColumns({c: r(c) for c in ("baseline", "speedup")})
 
 
 @query("B5", sql=f"WITH {RUNS} SELECT task, platform, dataset, count(*) AS n FROM runs r WHERE dataset <> '—' OR NOT EXISTS (SELECT 1 FROM runs x WHERE x.task = r.task AND x.platform = r.platform AND x.dataset <> '—') GROUP BY ALL")
@@ -143,13 +172,13 @@ def drop_nameless(t):
 
 
 @query("B1", "SRC10", "U2", sql=f"""
-WITH {RESCUED.replace('FROM runs GROUP BY ALL)', 'FROM once GROUP BY ALL)').replace('FROM runs LEFT', 'FROM once LEFT').replace('runs.* REPLACE', 'once.* REPLACE').replace(', md AS', ', once AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY task, dataset, platform, variant, threads, ts, sec ORDER BY batch, peak_mb) AS n FROM runs) WHERE n = 1), md AS')},
-named AS (SELECT * FROM rescued r WHERE dataset <> '—' OR NOT EXISTS (SELECT 1 FROM rescued x WHERE x.task = r.task AND x.platform = r.platform AND x.dataset <> '—')), {_base('named')}
-SELECT n.task, n.dataset, n.platform, n.threads, count(*) AS n_reps, round(avg(n.sec), 6) AS mean_sec, median(n.sec) AS median_sec, round(avg(CAST(pass AS INT)), 6) AS pass_rate, round(any_value(baseline), 6) AS baseline, round(any_value(baseline / eb.sec), 6) AS speedup
-FROM named n LEFT JOIN eb ON n.task = eb.task AND n.dataset = eb.dataset AND n.platform = eb.platform AND n.threads = eb.threads WHERE variant = 'patched' GROUP BY ALL""")
+WITH {RAW}, {_usable('raw')}, once AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY ts, task, tier, rep, variant, sec, peak_mb, platform, cpu, threads ORDER BY dataset, note) AS n FROM us) WHERE n = 1), {_rescued('once')}, {_pooled('rs')},
+ce AS (SELECT task, tier, threads, platform, dataset, variant, CASE WHEN bool_and(na) THEN 'N/A' WHEN bool_and(oom) THEN 'OOM' WHEN bool_or(oom OR na) THEN 'partial' ELSE 'ok' END AS status, count(*) FILTER (NOT oom AND NOT na) AS n_reps, round(avg(sec), 6) AS sec_mean, median(sec) AS sec_median, round(avg(speedup), 6) AS speedup_mean, round(median(speedup), 6) AS speedup_median,
+  round(avg(CAST(pass AS INT)) FILTER (variant = 'patched' AND NOT oom AND NOT na), 6) AS pass_rate, min(thread_scaling) AS thread_scaling FROM eb GROUP BY ALL)
+SELECT * FROM ce c WHERE dataset <> '—' OR NOT EXISTS (SELECT 1 FROM ce x WHERE x.task = c.task AND x.tier = c.tier AND x.threads = c.threads AND x.platform = c.platform AND x.dataset <> '—')""")
 def finalize(t):
-    got = b.finalize(_runs(t)).select("task", "dataset", "platform", "threads", "n_reps", "mean_sec", "median_sec", "pass_rate", "baseline", "speedup")
-    return got.withColumns({c: r(c) for c in ("mean_sec", "pass_rate", "baseline", "speedup")})
+    got = b.finalize(_raw(t), *_listed(t)).drop("mem_mean", "mem_median", "ts_first", "ts_last")
+    return got.withColumns({c: r(c) for c in ("sec_mean", "speedup_mean", "speedup_median", "pass_rate")})
 
 
 @query("U2", "U7", sql=f"WITH {RUNS} SELECT task, dataset, platform, variant, threads, min(batch) AS batch FROM runs GROUP BY ALL")
@@ -165,9 +194,10 @@ def against_batch(t):
 
 
 @query("B7", sql=f"""
-WITH {RUNS} SELECT batch, task, dataset, count(*) AS n FROM (SELECT batch, task, CASE WHEN dataset <> '—' THEN dataset ELSE coalesce(min(CASE WHEN dataset <> '—' THEN dataset END) OVER (PARTITION BY batch, task), dataset) END AS dataset FROM runs) GROUP BY ALL""")
+WITH {RAW}, x AS (SELECT *, min(dataset) FILTER (dataset <> '—') OVER w AS lo, max(dataset) FILTER (dataset <> '—') OVER w AS hi, min((ends_with(dataset, '_60k'), dataset)) FILTER (dataset <> '—') OVER w AS fi FROM raw WINDOW w AS (PARTITION BY ts, tier, threads, task))
+SELECT ts, tier, threads, task, dataset, count(*) AS n FROM (SELECT * REPLACE (CASE WHEN dataset <> '—' THEN dataset WHEN lo = hi THEN lo WHEN lo IS NOT NULL AND starts_with(note, 'migrated:') THEN fi[2] ELSE dataset END AS dataset) FROM x) GROUP BY ALL""")
 def fill_dataset(t):
-    return b.fill_dataset(_runs(t)).groupBy("batch", "task", "dataset").agg(F.count("*").alias("n"))
+    return b.fill_dataset(_raw(t)).groupBy("ts", "tier", "threads", "task", "dataset").agg(F.count("*").alias("n"))
 
 
 @query("B8", "W20", "P17", sql=f"""
@@ -204,19 +234,23 @@ def backfill_plan(t):
 
 
 @query("B12", "B14", sql="""
-SELECT l_orderkey, l_linenumber, CASE WHEN abs(l_quantity - h) <= 0.05 * h THEN 'BORDERLINE' WHEN CASE WHEN l_linestatus = 'F' THEN l_quantity <= h ELSE l_quantity >= h END THEN 'PASS' ELSE 'FAIL' END AS gate
-FROM (SELECT *, CASE WHEN l_linestatus = 'F' THEN 25e0 * (1 + 3 * l_tax) ELSE 25e0 * (1 - 3 * l_tax) END AS h FROM lineitem)""")
+WITH x AS (SELECT l_orderkey, l_linenumber, l_linestatus = 'F' AS lte, l_quantity / 50 AS v, CASE WHEN l_linestatus = 'F' THEN 5e-1 * (1 + 3 * l_tax) ELSE 5e-1 * (1 - 3 * l_tax) END AS h, l_discount AS cv, l_quantity - 25 AS d FROM lineitem),
+m AS (SELECT *, CASE WHEN lte THEN h - v ELSE v - h END AS margin, greatest(CASE WHEN lte THEN abs(h) ELSE 1 - h END, 1e-6) AS room FROM x)
+SELECT l_orderkey, l_linenumber, CASE WHEN margin < 0 THEN 'FAIL' WHEN margin / room < 5e-2 THEN 'BORDERLINE' ELSE 'PASS' END AS gate, cv > 0 AND abs(d) < 3 * cv * 100 AS near FROM m""")
 def gates(t):
     cmp = F.when(F.col("l_linestatus") == "F", "lte").otherwise("gte")
-    return t.lineitem.select("l_orderkey", "l_linenumber", b.gate(F.col("l_quantity"), cmp, F.lit(25.0), F.col("l_tax")).alias("gate"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", b.gate(F.col("l_quantity") / 50, cmp, F.lit(0.5), F.col("l_tax")).alias("gate"), b.speed_borderline(F.col("l_quantity") - 25, F.col("l_discount")).alias("near"))
 
 
 @query("B13", "J9", sql=f"""
-WITH {RUNS}, c AS (SELECT task, threads, avg(sec) AS speedup FROM runs GROUP BY ALL), g AS (SELECT exp(avg(ln(speedup))) AS overall FROM c WHERE threads < 8), gt AS (SELECT threads, exp(avg(ln(speedup))) AS geomean FROM c WHERE threads < 8 GROUP BY 1), x AS (SELECT task, threads, speedup, coalesce(geomean, overall) AS expected FROM c LEFT JOIN gt USING (threads), g)
-SELECT task, threads, round(speedup, 6) AS speedup, round(expected, 6) AS expected, round(speedup / expected, 6) AS share, CASE WHEN speedup / expected >= 0.9 THEN 'PASS' WHEN speedup / expected >= 0.6 THEN 'SOFT' WHEN speedup / expected > 0 THEN 'HARD' ELSE 'ZERO' END AS grade FROM x""")
+WITH {RAW}, c AS (SELECT task, tier, threads, CASE WHEN tier = 'ood_xlarge' AND task = 'task1' THEN 0 ELSE median(sec) FILTER (variant = 'baseline') END AS baseline, CASE WHEN tier = 'ood_large' THEN 2 WHEN tier = 'ood_xlarge' AND threads = 8 THEN 12 ELSE 1 END * median(sec) FILTER (variant = 'patched') AS sec, tier = 'ood_large' AND threads = 4 AND task = 'task2' AS oom FROM raw WHERE NOT (threads = 4 AND tier IN ('small', 'medium')) GROUP BY task, tier, threads),
+f AS (SELECT *, CASE WHEN baseline > 0 AND sec > 0 THEN baseline / sec END AS factor FROM c WHERE NOT oom), d AS (SELECT * FROM f WHERE NOT starts_with(tier, 'ood_') AND factor IS NOT NULL), g AS (SELECT threads, exp(avg(ln(factor))) AS geo FROM d GROUP BY 1), w AS (SELECT exp(avg(ln(factor))) AS overall FROM d),
+x AS (SELECT task, tier, threads, factor, coalesce(geo, overall) AS ref, CASE WHEN geo IS NULL THEN 'fallback_global' ELSE 'thread_matched' END AS reference_kind FROM f LEFT JOIN g USING (threads), w WHERE starts_with(tier, 'ood_'))
+SELECT task, tier, threads, round(ref / factor, 6) AS tax, CASE WHEN factor IS NULL THEN 'ZERO' WHEN ref / factor >= 5 THEN 'HARD' WHEN ref / factor >= CASE WHEN tier = 'ood_xlarge' THEN 2 ELSE 1.5 END THEN 'SOFT' ELSE 'PASS' END AS verdict, round(ref, 6) AS dev_reference, reference_kind FROM x""")
 def scaling_tax(t):
-    cells = _runs(t).groupBy("task", "threads").agg(F.avg("sec").alias("speedup"))
-    return b.scaling_tax(cells, b.geometric_means(cells.where("threads < 8"), "threads", "speedup")).withColumns({c: r(c) for c in ("speedup", "expected", "share")})
+    raw = _raw(t).where("not (threads = 4 and tier in ('small', 'medium'))").groupBy("task", "tier", "threads").agg(F.expr("median(if(variant = 'baseline', sec, null))").alias("baseline"), F.expr("median(if(variant = 'patched', sec, null))").alias("sec"))
+    cells = raw.selectExpr("task", "tier", "threads", "if(tier = 'ood_xlarge' and task = 'task1', 0D, baseline) as baseline", "case when tier = 'ood_large' then 2 when tier = 'ood_xlarge' and threads = 8 then 12 else 1 end * sec as sec", "tier = 'ood_large' and threads = 4 and task = 'task2' as oom")
+    return b.scaling_tax(cells).select("task", "tier", "threads", F.when(F.col("tax") < float("inf"), r("tax")).alias("tax"), "verdict", r("dev_reference").alias("dev_reference"), "reference_kind")
 
 
 @query("B15", "W22", sql="SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey = max(o_orderkey) FILTER (o_orderstatus = 'O') OVER (PARTITION BY o_custkey) THEN 'done' ELSE o_orderstatus END AS o_orderstatus FROM orders")
@@ -230,12 +264,14 @@ def migrate_columns(t):
 
 
 @query("W21", sql="""
-WITH x AS (SELECT o_custkey AS k, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'keep' ELSE 'drop' END AS st, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders),
-g AS (SELECT k, coalesce(min(n - 1) FILTER (st = 'keep'), count(*)) AS since_keep, min(v) FILTER (n <= 10) AS late, min(v) FILTER (n > 10) AS early FROM x GROUP BY k)
-SELECT k, since_keep, round((early - late) / early, 6) + 0.0 AS gain, CASE WHEN since_keep >= 8 THEN 'stalled' WHEN coalesce((early - late) / early, 1) < 0.02 THEN 'slow' ELSE 'moving' END AS band FROM g""")
+WITH x AS (SELECT o_custkey AS k, o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'keep' ELSE 'crash' END WHEN 1 THEN 'discard' WHEN 2 THEN 'rollback' WHEN 3 THEN 'rerun' ELSE 'oom' END AS status, CASE o_orderkey % 7 WHEN 0 THEN 'validate' WHEN 1 THEN '' ELSE 'optimize' END AS phase, (o_custkey % 10) * 10 + o_orderkey % 11 AS pct FROM orders),
+o AS (SELECT * FROM x WHERE phase <> 'validate'), k AS (SELECT k, max(pct) AS best FROM o WHERE status = 'keep' GROUP BY 1), d AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o_orderkey DESC) AS n FROM o WHERE status <> 'rerun'),
+t AS (SELECT k, coalesce(min(n - 1) FILTER (status = 'keep'), count(*)) AS tail, CASE WHEN count(*) >= 10 THEN max(pct) FILTER (n <= 10) - max(pct) FILTER (n > 10) END AS gain FROM d GROUP BY k)
+SELECT k, CAST(best AS DOUBLE) AS best_keep, CASE WHEN best >= 95 THEN 'late_plateau' WHEN best < 50 THEN 'early_stuck' ELSE 'middle' END AS regime, tail, CAST(gain AS DOUBLE) AS gain, CASE WHEN best < 50 THEN CASE WHEN tail >= 10 THEN 'escalate' END WHEN tail >= 10 OR coalesce(gain < 2, false) THEN CASE WHEN best < 90 THEN 'decide' ELSE 'terminate' END END AS band FROM k JOIN t USING (k)""")
 def progress(t):
-    rows = t.orders.select(F.col("o_custkey").alias("k"), "o_orderkey", F.when(F.col("o_orderstatus") == "F", "keep").otherwise("drop").alias("st"), F.col("o_totalprice").alias("v"))
-    return b.progress(rows, "k", "o_orderkey", "st", "v").withColumn("gain", r("gain"))
+    status = "case o_orderkey % 5 when 0 then if(o_orderkey % 3 = 0, 'keep', 'crash') when 1 then 'discard' when 2 then 'rollback' when 3 then 'rerun' else 'oom' end as status"
+    rows = t.orders.selectExpr("o_custkey as k", "o_orderkey", "cast(o_orderkey as string) as round", status, "case o_orderkey % 7 when 0 then 'validate' when 1 then '' else 'optimize' end as phase", "double((o_custkey % 10) * 10 + o_orderkey % 11) as speedup_pct")
+    return b.progress(rows, "k", "o_orderkey")
 
 
 @query("B20", sql="SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%economy%' THEN 'metal' WHEN lower(p_type) LIKE '%promo%' OR lower(p_type) LIKE '%small%' THEN 'alloy' ELSE 'other' END AS category FROM part")
@@ -243,6 +279,15 @@ def categories(t):
     return t.part.select("p_partkey", b.categorize(F.col("p_type"), [("metal", "economy"), ("alloy", "promo|small")]).alias("category"))
 
 
+@query("B20", sql="""
+WITH x AS (SELECT p_partkey AS k, p_partkey % 9 > 0 AS a, p_partkey % 9 > 0 AND p_size % 5 >= 3 AND p_size % 2 = 0 AS b, p_size % 3 >= 1 AND p_partkey % 4 > 0 AS c, p_size % 7 > 3 AND p_partkey % 6 >= 1 AS d, p_partkey % 10 = 3 AS e FROM part)
+SELECT k, CASE WHEN e THEN 'package' WHEN d THEN 'scaling' WHEN c THEN 'iterate' WHEN b THEN 'init' WHEN a THEN 'scaffold' ELSE 'unknown' END AS phase,
+  concat_ws(',', CASE WHEN NOT a AND (b OR c OR d OR e) THEN 'scaffold' END, CASE WHEN NOT b AND (c OR d OR e) THEN 'init' END, CASE WHEN NOT c AND (d OR e) THEN 'iterate' END, CASE WHEN NOT d AND e THEN 'scaling' END) AS gaps FROM x""")
+def lifecycle(t):
+    found = t.part.selectExpr("p_partkey as k", "p_partkey % 9 > 0 as configured", "p_size % 5 as datasets", "p_size % 2 = 0 as references", "true as pipeline", "true as evaluation", "p_size % 3 as rounds", "p_partkey % 4 > 0 as best", "true as round_kept", "greatest(p_size % 7 - 3, 0) as ood_tiers", "p_partkey % 6 as verified", "p_partkey % 10 = 3 as patched")
+    return b.lifecycle(found, "k")
+
+
 @query("K9", sql="SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%ring%' THEN 1 ELSE 0 END + CASE WHEN lower(p_type) LIKE '%economy%' THEN 3 ELSE 0 END + CASE WHEN lower(p_name) LIKE '%economy%' THEN 1 ELSE 0 END + CASE WHEN lower(p_type) LIKE '%ring%' THEN 3 ELSE 0 END AS score FROM part WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 15")
 def registry_search(t):
     return b.search(t.part, ["ring", "economy"], {"p_name": 1, "p_type": 3}, "p_partkey", 15).select("p_partkey", "score")

@@ -168,18 +168,22 @@ PLATFORM = "(VALUES ('Darwin-23'), ('win32'), ('Windows'), ('Linux x'), ('beos')
 @query("P18", sql=f"""
 SELECT c, CASE WHEN lower(trim(c)) LIKE '%darwin%' OR lower(trim(c)) LIKE '%mac%' THEN 'mac' WHEN lower(c) LIKE '%win%' THEN 'win' WHEN lower(c) LIKE '%linux%' THEN 'linux' ELSE 'other' END AS plain,
   CASE WHEN coalesce(trim(c), '') = '' THEN 'mac' WHEN lower(c) LIKE '%darwin%' THEN 'mac' WHEN lower(c) LIKE '%win%' THEN 'win' WHEN lower(c) LIKE '%linux%' THEN 'linux' ELSE 'other' END AS or_mac,
-  CASE WHEN coalesce(trim(c), '') = '' THEN 'unknown' WHEN lower(c) LIKE '%darwin%' THEN 'mac' WHEN lower(c) LIKE '%win%' THEN 'win' WHEN lower(c) LIKE '%linux%' THEN 'linux' ELSE 'other' END AS or_unknown,
-  CASE WHEN c = 'beos' THEN 'none' ELSE 'none' END AS failure FROM {PLATFORM}""")
+  CASE WHEN coalesce(trim(c), '') = '' THEN 'unknown' WHEN lower(c) LIKE '%darwin%' THEN 'mac' WHEN lower(c) LIKE '%win%' THEN 'win' WHEN lower(c) LIKE '%linux%' THEN 'linux' ELSE 'other' END AS or_unknown FROM {PLATFORM}""")
 def platforms(t):
     c = F.col("c")
-    got = t.spark.createDataFrame([("Darwin-23",), ("win32",), ("Windows",), ("Linux x",), ("beos",), ("",), (" ",), (None,)], "c string")
-    return got.select("c", sc.classify_platform(c).alias("plain"), sc.platform_or_mac(c).alias("or_mac"), sc.platform_or_unknown(c).alias("or_unknown"), sc.failure_kind(c).alias("failure"))
-
-
-@query("P18", sql="SELECT n_name, CASE WHEN n_nationkey % 3 = 0 THEN 'oom' WHEN n_nationkey % 3 = 1 THEN 'sentinel' ELSE 'none' END AS kind FROM nation")
-def failure_kinds(t):
-    note = F.when(F.col("n_nationkey") % 3 == 0, "Killed: Out of Memory").when(F.col("n_nationkey") % 3 == 1, "run TIMED OUT").otherwise("done")
-    return t.nation.select("n_name", sc.failure_kind(note).alias("kind"))
+    got = t.spark.sql(f"SELECT c FROM {PLATFORM}")
+    return got.select("c", sc.classify_platform(c).alias("plain"), sc.platform_or_mac(c).alias("or_mac"), sc.platform_or_unknown(c).alias("or_unknown"))
+
+
+@query("P18", sql="""
+WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' 1.5' END AS sec, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'patched' ELSE 'other' END AS variant, CASE p_size % 4 WHEN 0 THEN 'tiny' WHEN 1 THEN 'ood_large2' WHEN 2 THEN 'huge' ELSE 'medium' END AS tier,
+  CASE p_size % 5 WHEN 0 THEN 'process exited -9' WHEN 1 THEN 'Killed by watchdog' WHEN 2 THEN ' ' WHEN 3 THEN 'std::bad_alloc' ELSE 'timeout' END AS note FROM part)
+SELECT p_partkey, CASE WHEN trim(sec) <> '' AND variant IN ('baseline', 'patched') THEN 'measurement' WHEN trim(sec) = '' AND variant = '' AND tier <> 'huge' AND trim(note) <> '' THEN CASE WHEN note <> 'timeout' THEN 'oom' ELSE 'sentinel' END ELSE 'none' END AS kind FROM x""")
+def row_kinds(t):
+    e = lambda x: F.expr(x)
+    sec, variant, tier = e("if(p_partkey % 2 = 0, '', ' 1.5')"), e("case p_partkey % 3 when 0 then '' when 1 then 'patched' else 'other' end"), e("case p_size % 4 when 0 then 'tiny' when 1 then 'ood_large2' when 2 then 'huge' else 'medium' end")
+    note = e("case p_size % 5 when 0 then 'process exited -9' when 1 then 'Killed by watchdog' when 2 then ' ' when 3 then 'std::bad_alloc' else 'timeout' end")
+    return t.part.select("p_partkey", sc.row_kind(sec, variant, tier, note).alias("kind"))
 
 
 @query("P19", sql="SELECT p_partkey FROM part WHERE p_size >= 30 AND p_brand <> 'Brand#11' AND p_retailprice < 1500")

@@ -392,8 +392,10 @@ def test_diffusion_keeps_mass():
 
 
 def test_gate(spark):
-    rows = spark.createDataFrame([(0.5, "lte"), (0.99, "lte"), (2.0, "lte"), (2.0, "gte"), (None, "gte")], "v double, c string")
-    assert [r.g for r in rows.select(benchmarks.gate(F.col("v"), F.col("c"), F.lit(1.0)).alias("g")).collect()] == ["PASS", "BORDERLINE", "FAIL", "PASS", "FAIL"]
+    rows = spark.createDataFrame([(0.5, "lte", 1.0), (0.99, "lte", 1.0), (1.01, "lte", 1.0), (2.0, "gte", 1.0), (None, "gte", 1.0), (0.96, "gte", 0.95), (0.951, "gte", 0.95), (0.949, "gte", 0.95), (0.049, "lte", 0.05)], "v double, c string, t double")
+    assert [r.g for r in rows.select(benchmarks.gate(F.col("v"), F.col("c"), F.col("t")).alias("g")).collect()] == ["PASS", "BORDERLINE", "FAIL", "PASS", "FAIL", "PASS", "BORDERLINE", "FAIL", "BORDERLINE"]
+    near = spark.createDataFrame([(5.6, 0.019), (5.8, 0.019), (0.1, 0.0), (0.1, None)], "d double, cv double")
+    assert [r.n for r in near.select(benchmarks.speed_borderline(F.col("d"), F.col("cv")).alias("n")).collect()] == [True, False, False, False]
 
 
 def test_sessions_stream_like_tables(spark, tmp_path):
