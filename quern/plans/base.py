@@ -30,8 +30,8 @@ class Tables:
         return self.orders.select(F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("grp"))
 
     def panel(self) -> DataFrame:
-        """Suppliers by the 50 part sizes: the quantity of one part in three lines, for operators on dense grids."""
-        lines = self.lineitem.where("l_linenumber = 1").join(self.part, F.col("l_partkey") == F.col("p_partkey"))
+        """Suppliers by the 50 part sizes: the quantity of all lines, for operators on dense grids."""
+        lines = self.lineitem.join(self.part, F.col("l_partkey") == F.col("p_partkey"))
         return lines.groupBy(F.col("l_suppkey").alias("row_id"), F.col("p_size").cast("long").alias("col_id")).agg(F.sum("l_quantity").alias("value"))
 
     def panel_obs(self) -> DataFrame:
@@ -44,7 +44,7 @@ class Tables:
 SQL_SHAPES = {
     "cells": "SELECT l_orderkey AS row_id, l_partkey AS col_id, sum(l_quantity) AS value FROM lineitem GROUP BY ALL",
     "obs": "SELECT o_orderkey AS row_id, o_orderpriority AS grp FROM orders",
-    "panel": "SELECT l_suppkey AS row_id, CAST(p_size AS BIGINT) AS col_id, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 GROUP BY ALL",
+    "panel": "SELECT l_suppkey AS row_id, CAST(p_size AS BIGINT) AS col_id, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL",
     "panel_obs": "SELECT s_suppkey AS row_id, r_name AS grp FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
 }
 
@@ -69,7 +69,7 @@ def query(*ids: str, sql: str | None = None) -> Callable:
             names = [n for n in SQL_SHAPES if f"@{n}" in text]
             for n in sorted(names, key=len, reverse=True):
                 text = text.replace(f"@{n}", n)
-            shapes = ", ".join(f"{n} AS ({SQL_SHAPES[n]})" for n in names)
+            shapes = ", ".join(f"{n} AS MATERIALIZED ({SQL_SHAPES[n]})" for n in names)
             text = text.strip()
             if names:
                 text = f"WITH {shapes}, {text[5:]}" if text[:5].upper() == "WITH " else f"WITH {shapes} {text}"

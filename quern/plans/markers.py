@@ -180,11 +180,11 @@ def ligand_activity(t):
     return got.select("ligand", *[r(c).alias(c) for c in ("auroc", "aupr", "aupr_corrected", "pearson")])
 
 
-PAIRS = "SELECT col_id AS pair_id, col_id AS a, col_id + 1 AS b FROM (SELECT DISTINCT col_id FROM panel) WHERE col_id < 40"
+PAIRS = "SELECT col_id AS pair_id, col_id AS a, col_id + 1 AS b FROM (SELECT DISTINCT col_id FROM panel)"
 
 
 def _pairs(t, a="a", b="b"):
-    return t.panel().select("col_id").distinct().where("col_id < 40").selectExpr("col_id as pair_id", f"col_id as {a}", f"col_id + 1 as {b}")
+    return t.panel().select("col_id").distinct().selectExpr("col_id as pair_id", f"col_id as {a}", f"col_id + 1 as {b}")
 
 
 @query("E10", "J13", sql=f"""

@@ -81,11 +81,11 @@ def group_summary_dense(t):
     return m.group_summary(t.panel(), t.panel_obs(), dense=True).withColumn("mean", r("mean", 9))
 
 
-NULLED = "SELECT l_suppkey AS col_id, l_returnflag AS grp, CASE WHEN l_quantity > 49 THEN NULL ELSE l_quantity - 20 END AS value FROM lineitem WHERE l_linenumber = 1"
+NULLED = "SELECT l_suppkey AS col_id, l_returnflag AS grp, CASE WHEN l_quantity > 49 THEN NULL ELSE l_quantity - 20 END AS value FROM lineitem"
 
 
 def _nulled(t):
-    return t.lineitem.where("l_linenumber = 1").select(F.col("l_suppkey").alias("col_id"), F.col("l_returnflag").alias("grp"), F.when(F.col("l_quantity") <= 49, F.col("l_quantity") - 20).alias("value"))
+    return t.lineitem.select(F.col("l_suppkey").alias("col_id"), F.col("l_returnflag").alias("grp"), F.when(F.col("l_quantity") <= 49, F.col("l_quantity") - 20).alias("value"))
 
 
 @query("G4", sql=f"""
@@ -139,7 +139,7 @@ def group_trimean(t):
     return m.group_trimean(t.panel(), t.panel_obs()).withColumn("trimean", r("trimean"))
 
 
-GRID = """grid AS (SELECT o.row_id, c.col_id, coalesce(value, 0) AS value FROM @panel_obs o CROSS JOIN (SELECT DISTINCT col_id FROM @panel) c LEFT JOIN panel p ON p.row_id = o.row_id AND p.col_id = c.col_id)"""
+GRID = """grid AS MATERIALIZED (SELECT o.row_id, c.col_id, coalesce(value, 0) AS value FROM @panel_obs o CROSS JOIN (SELECT DISTINCT col_id FROM @panel) c LEFT JOIN panel p ON p.row_id = o.row_id AND p.col_id = c.col_id)"""
 
 
 def _grid(t):
@@ -207,7 +207,7 @@ def value_checks(t):
 
 
 REFERENCES = "SELECT * FROM panel_obs WHERE grp IN ('ASIA', 'EUROPE')"
-SUBTRACTED = f"{GRID}, g AS (SELECT col_id, grp, avg(value) AS m FROM grid JOIN ({REFERENCES}) USING (row_id) GROUP BY ALL), l AS (SELECT col_id, min(m) AS low, max(m) AS high, avg(m) AS mid FROM g GROUP BY col_id)"
+SUBTRACTED = f"{GRID}, g AS (SELECT col_id, grp, avg(value) AS m FROM grid JOIN ({REFERENCES}) USING (row_id) GROUP BY ALL), l AS MATERIALIZED (SELECT col_id, min(m) AS low, max(m) AS high, avg(m) AS mid FROM g GROUP BY col_id)"
 
 
 def _references(t):

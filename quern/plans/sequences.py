@@ -14,14 +14,14 @@ from quern.plans.base import query, r
 from quern.plans.matrix import GRID, _grid
 from quern.streaming.sessions import session_minutes as session_minutes_of
 
-STATES = "SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS place, min(l_returnflag) AS st FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL"
+STATES = "SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS place, min(l_returnflag) AS st FROM lineitem GROUP BY ALL"
 
 
 @query("W14", sql=f"""
 WITH v AS ({STATES}), s AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY place) - row_number() OVER (PARTITION BY k, st ORDER BY place) AS isl, count(*) OVER (PARTITION BY k) AS c FROM v),
 u AS (SELECT k, st, min(place) AS first, max(place) AS last, count(*) AS n FROM s WHERE c >= 2 GROUP BY k, st, isl) SELECT k, st, first, last, n, row_number() OVER (ORDER BY k, first) AS region FROM u""")
 def run_lengths(t):
-    rows = t.lineitem.where("l_linenumber = 1").groupBy(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place")).agg(F.min("l_returnflag").alias("st"))
+    rows = t.lineitem.groupBy(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place")).agg(F.min("l_returnflag").alias("st"))
     return q.run_lengths(rows, ["k"], "place", "st")
 
 
@@ -60,7 +60,7 @@ def box_least_squares(t):
 
 @query("E29")
 def viterbi(t):
-    series = t.lineitem.where("l_linenumber <= 2").groupBy(F.col("l_suppkey").alias("series_id"), F.col("l_orderkey").alias("place")).agg(F.avg("l_quantity").alias("value"))
+    series = t.lineitem.groupBy(F.col("l_suppkey").alias("series_id"), F.col("l_orderkey").alias("place")).agg(F.avg("l_quantity").alias("value"))
     return q.viterbi(series, [5.0, 15.0, 25.0, 35.0, 45.0], 8.0, 0.9)
 
 
@@ -174,11 +174,13 @@ def symmetrized(t):
     return g.symmetrize(e).withColumn("weight", r("weight"))
 
 
-EDGES = "ed AS (SELECT l_suppkey AS src, l_partkey AS dst, sum(l_quantity) AS weight FROM lineitem WHERE l_partkey > l_suppkey AND l_partkey < 100 GROUP BY ALL)"
+EDGES = "ed AS (SELECT least(2 * l_suppkey, 2 * l_partkey + 1) AS src, greatest(2 * l_suppkey, 2 * l_partkey + 1) AS dst, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL)"
 
 
 def _edges(t):
-    return g.upper_edges(t.lineitem.where("l_partkey < 100").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.sum("l_quantity").alias("weight")))
+    """Suppliers (even nodes) and parts (odd ones) of all lines, each edge once."""
+    edges = t.lineitem.groupBy((2 * F.col("l_suppkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst")).agg(F.sum("l_quantity").alias("weight"))
+    return g.upper_edges(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
 
 
 @query("N10", sql=f"WITH {EDGES} SELECT src, dst, weight FROM ed")
@@ -312,7 +314,7 @@ def variance_trend_features(t):
 
 
 def _survival(t):
-    return t.lineitem.where("l_linenumber = 1").select("l_orderkey", F.round("l_extendedprice", -3).alias("T"), (F.col("l_returnflag") == "R").cast("int").alias("E"), (F.col("l_quantity") / 50).alias("x0"), (F.col("l_discount") * 10).alias("x1"))
+    return t.lineitem.select("l_orderkey", F.round("l_extendedprice", -3).alias("T"), (F.col("l_returnflag") == "R").cast("int").alias("E"), (F.col("l_quantity") / 50).alias("x0"), (F.col("l_discount") * 10).alias("x1"))
 
 
 @query("E18", "P12", "SRC4")
@@ -320,7 +322,7 @@ def cox_regression(t):
     return md.cox_regression(_survival(t), "T", "E", ["x0", "x1"], 8).withColumns({"coefficient": r("coefficient"), "se": r("se")})
 
 
-@query("E19", sql="SELECT l_orderkey, round((l_quantity / 50 - (SELECT avg(l_quantity / 50) FROM lineitem WHERE l_linenumber = 1)) * 0.5 + (l_discount * 10 - (SELECT avg(l_discount * 10) FROM lineitem WHERE l_linenumber = 1)) * -0.25, 6) + 0.0 AS hazard FROM lineitem WHERE l_linenumber = 1")
+@query("E19", sql="SELECT l_orderkey, round((l_quantity / 50 - (SELECT avg(l_quantity / 50) FROM lineitem)) * 0.5 + (l_discount * 10 - (SELECT avg(l_discount * 10) FROM lineitem)) * -0.25, 6) + 0.0 AS hazard FROM lineitem")
 def log_partial_hazard(t):
     return md.log_partial_hazard(_survival(t), "l_orderkey", {"x0": 0.5, "x1": -0.25}).withColumn("hazard", r("hazard"))
 
