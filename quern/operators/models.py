@@ -322,7 +322,7 @@ def decontaminate(cells: DataFrame, clusters: DataFrame, rounds: int = 10, delta
     return theta.select("row_id", (1 - F.col("theta")).alias("contamination"))
 
 
-@operator("N16", "N14", group="models")
+@operator("N16", group="models")
 def initial_clusters(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """(id, z) by k-means of (id, v); distributed."""
     from pyspark.ml.clustering import KMeans

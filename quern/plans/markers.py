@@ -202,9 +202,38 @@ def cluster_pair_means(t):
     return s.cluster_pair_means(t.panel(), t.panel_obs(), _pairs(t), 0.5).withColumn("mean", r("mean"))
 
 
-@query("E11", "G24", "G25", "G12")
+#: Ten shuffles of the groups.
+SHUFFLED = """de AS (SELECT grp, row_number() OVER (ORDER BY row_id) AS place FROM panel_obs WHERE grp IS NOT NULL),
+sh AS MATERIALIZED (SELECT turn, row_id, grp FROM (SELECT turn, row_id, row_number() OVER (PARTITION BY turn ORDER BY md5('turn:' || turn || ':' || row_id), row_id) AS place FROM panel_obs, range(10) z(turn) WHERE grp IS NOT NULL) JOIN de USING (place))"""
+
+
+@query("E11", "G24", sql=f"""
+WITH pr AS ({PAIRS}), g AS (SELECT grp, count(*) AS n FROM @panel_obs GROUP BY grp), {SHUFFLED}, me AS (SELECT col_id, grp, sum(value) / any_value(n) AS mean, count(*) / any_value(n) AS share FROM @panel JOIN panel_obs USING (row_id) JOIN g USING (grp) GROUP BY ALL),
+nu AS (SELECT turn, col_id, grp, sum(value) / any_value(n) AS mean FROM panel JOIN sh USING (row_id) JOIN g USING (grp) GROUP BY ALL),
+re AS (SELECT pair_id, x.grp AS cluster_a, y.grp AS cluster_b, (x.mean + y.mean) / 2 AS mean, x.share > 0.2 AND y.share > 0.2 AS present FROM pr JOIN me x ON x.col_id = a JOIN me y ON y.col_id = b),
+sn AS (SELECT pair_id, x.grp AS cluster_a, y.grp AS cluster_b, (x.mean + y.mean) / 2 AS other FROM pr JOIN nu x ON x.col_id = a JOIN nu y ON y.col_id = b AND y.turn = x.turn)
+SELECT pair_id, cluster_a, cluster_b, round(mean, 6) AS mean, CASE WHEN present AND mean > 0 THEN (SELECT count(*) FROM sn WHERE sn.pair_id = re.pair_id AND sn.cluster_a = re.cluster_a AND sn.cluster_b = re.cluster_b AND other > mean) / 10 ELSE 1 END AS p FROM re""")
 def cluster_pair_p(t):
-    return s.cluster_pair_p(t.panel(), t.panel_obs(), _pairs(t), 10, 0.2)
+    return s.cluster_pair_p(t.panel(), t.panel_obs(), _pairs(t), 10, 0.2).withColumn("mean", r("mean"))
+
+
+@query("G12", sql=f"""
+WITH ob AS (SELECT * FROM @panel_obs), {SHUFFLED}, gr AS (SELECT turn, grp, col_id, coalesce(value, 0) AS value FROM sh CROSS JOIN (SELECT DISTINCT col_id FROM @panel) c LEFT JOIN panel p USING (row_id, col_id))
+SELECT turn, col_id, grp, round((quantile_cont(value, 0.25) + 2 * quantile_cont(value, 0.5) + quantile_cont(value, 0.75)) / 4, 6) AS trimean FROM gr GROUP BY ALL HAVING max(value) > 0""")
+def bootstrap_trimean(t):
+    return s.bootstrap_trimean(t.panel(), t.panel_obs(), 10).withColumn("trimean", r("trimean"))
+
+
+@query("E12", "G25", sql=f"""
+WITH ob AS (SELECT * FROM @panel_obs), {SHUFFLED}, every AS (SELECT -1 AS turn, row_id, grp FROM ob UNION ALL SELECT * FROM sh), gr AS (SELECT turn, grp, col_id, coalesce(value, 0) AS value FROM every CROSS JOIN (SELECT DISTINCT col_id FROM @panel) c LEFT JOIN panel p USING (row_id, col_id)),
+lv AS (SELECT turn, col_id, grp, (quantile_cont(value, 0.25) + 2 * quantile_cont(value, 0.5) + quantile_cont(value, 0.75)) / 4 AS level FROM gr GROUP BY ALL), cx AS (SELECT DISTINCT col_id // 2 AS complex_id, col_id FROM panel), sz AS (SELECT complex_id, count(*) AS k FROM cx GROUP BY 1),
+cl AS (SELECT turn, complex_id, grp, exp(avg(ln(level))) AS level FROM lv JOIN cx USING (col_id) JOIN sz USING (complex_id) WHERE level > 0 GROUP BY turn, complex_id, grp, k HAVING count(*) = k),
+pb AS (SELECT x.turn, x.complex_id AS pair_id, x.grp AS source, y.grp AS target, x.level * y.level / (1e5 + x.level * y.level) AS prob FROM cl x JOIN cl y ON y.turn = x.turn AND y.complex_id = x.complex_id + 1)
+SELECT a.pair_id, a.source, a.target, round(a.prob, 6) AS prob, count(*) FILTER (b.prob > a.prob + 1e-12) / 10 AS p FROM pb a LEFT JOIN pb b ON b.turn >= 0 AND b.pair_id = a.pair_id AND b.source = a.source AND b.target = a.target WHERE a.turn = -1 GROUP BY a.pair_id, a.source, a.target, a.prob""")
+def communication_p(t):
+    complexes = t.panel().select(F.expr("col_id div 2").alias("complex_id"), "col_id").distinct()
+    pairs = complexes.select("complex_id").distinct().selectExpr("complex_id as pair_id", "complex_id as ligand", "complex_id + 1 as receptor")
+    return s.communication_p(t.panel(), t.panel_obs(), complexes, pairs, 10, 1e5).withColumn("prob", r("prob"))
 
 
 @query("E12", "J14", "P20", sql="""

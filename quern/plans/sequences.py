@@ -42,9 +42,9 @@ def _traces(t):
 
 @query("G38", sql="""
 WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 36000000000 THEN 0 ELSE 1 END AS st FROM events), s AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
-SELECT user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6, 5) + 0.0 AS minutes, count(*) AS events FROM s GROUP BY user_id, n""")
+SELECT user_id, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros, count(*) AS events FROM s GROUP BY user_id, n""")
 def session_minutes(t):
-    return session_minutes_of(t.events, "user_id", "ts", 600).select("user_id", r("minutes", 5).alias("minutes"), "events")
+    return session_minutes_of(t.events, "user_id", "ts", 600).select("user_id", F.round(F.col("minutes") * 60e6).cast("long").alias("micros"), "events")
 
 
 @query("S2", "SRC9")
@@ -197,7 +197,15 @@ def modularity(t):
     return g.modularity(e, nodes).withColumn("modularity", r("modularity"))
 
 
-@query("N9", "N4")
+@query("N4", sql="""
+WITH e AS (SELECT vec_id AS id, vec_id % 3 AS obj, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings), d AS (SELECT a.id AS a, b.id AS b, a.obj AS oa, b.obj AS ob, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.obj <> b.obj),
+k AS (SELECT a, b, oa, ob FROM (SELECT *, row_number() OVER (PARTITION BY a, ob ORDER BY d, b) AS n FROM d) WHERE n <= 5)
+SELECT x.a, x.b, x.oa AS obj_a, x.ob AS obj_b FROM k x JOIN k y ON x.a = y.b AND x.b = y.a""")
+def anchors(t):
+    return g.anchors(_vectors(t).withColumn("obj", F.col("id") % 3), 5)
+
+
+@query("N9")
 def label_communities(t):
     return g.label_communities(g.symmetrize(g.fuzzy_weights(_knn(t))))
 
