@@ -25,7 +25,6 @@ import base64
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +94,13 @@ def postings(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return (every[begin] >> np.uint32(12)).astype(np.int64), (every[begin] & np.uint32(4095)).astype(np.int64), np.diff(np.r_[begin, len(every)])
 
 
+def document_frequencies(docs: list[np.ndarray]) -> np.ndarray:
+    """In how many of up to 4096 documents each term occurs."""
+    term, doc = pairs_of(docs)
+    every = np.sort(term << np.uint32(12) | doc.astype(np.uint32))
+    return np.bincount(every[np.r_[True, every[1:] != every[:-1]][: len(every)]] >> np.uint32(12), minlength=FEATURES)
+
+
 def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The terms of a document, and how often each occurs."""
     term, _, often = postings([ids])
@@ -122,7 +128,7 @@ def stats_of(docs: list[np.ndarray]) -> Stats:
     """Of a few documents."""
     df = np.zeros(FEATURES, np.int64)
     for start in range(0, len(docs), 4096):
-        df += np.bincount(postings(docs[start : start + 4096])[0], minlength=FEATURES)
+        df += document_frequencies(docs[start : start + 4096])
     return Stats(df, len(docs), float(np.mean([max(len(d) - 1, 0) for d in docs])) if docs else 0.0)
 
 
@@ -226,12 +232,16 @@ def _tokenize(path: str | None):
         enc = encoder(path)
         kind, df = f"<u{enc.width}", np.zeros(FEATURES, np.int64)
         for batch in batched(batches, "text"):
-            every = [np.fromiter(chain(x := enc.encode(text.decode()), (END,)), kind, len(x) + 1) for text in raw_texts(batch, "text")]
-            df += np.bincount(postings(every)[0], minlength=FEATURES)
+            every = []
+            for text in raw_texts(batch, "text"):
+                ids = enc.encode(text.decode())
+                ids.append(END)
+                every.append(np.fromiter(ids, kind, len(ids)))
+            df += document_frequencies(every)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in every], pa.int64()), pa.array([x.tobytes() for x in every], pa.binary())], names=["doc_id", "tokens", "ids"])
         if df.any():
             # The counts of this task, in rows of their own, told from documents by a negative number.
-            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(df, BLOCKS)]
+            parts = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in np.split(df.astype("<u4"), BLOCKS)]
             yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, pa.int64()), pa.array(range(-BLOCKS, 0), pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "tokens", "ids"])
 
     return run
@@ -241,14 +251,15 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, part in zip(batch.column("tokens").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-            counts = np.frombuffer(zlib.decompress(part), np.int64)
+            counts = np.frombuffer(pa.decompress(part, 4 * FEATURES // BLOCKS, "zstd", asbytes=True), "<u4").astype(np.int64)
             sums[block] = sums[block] + counts if block in sums else counts
     if sums:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["tokens", "ids"])
 
 
 def _decoded(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(x, f"<u{len(x) // n}") for x, n in zip(batch.column("ids").to_pylist(), batch.column("tokens").to_pylist(), strict=True)]
+    kinds = {2: np.dtype("<u2"), 4: np.dtype("<u4")}
+    return [np.frombuffer(x, kinds[len(x) // n]) for x, n in zip(batch.column("ids").to_pylist(), batch.column("tokens").to_pylist(), strict=True)]
 
 
 def _route(shared):
