@@ -30,15 +30,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/quern-{uuid.uuid4().hex[:12]}-{name}"
 
 
-def materialize(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
+def materialize(df: DataFrame, name: str, codec: str = "zstd", **metrics: Column) -> DataFrame:
+    """Write df as a table in the shared folder, compressed by a codec of Parquet, and read it back.
 
     The rows, and what other aggregates are asked for, are counted as they are written: see seen().
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     watch = Observation()
-    df.observe(watch, F.count(F.lit(1)).alias("rows"), *[m.alias(k) for k, m in metrics.items()]).write.option("compression", "zstd").parquet(path)
+    df.observe(watch, F.count(F.lit(1)).alias("rows"), *[m.alias(k) for k, m in metrics.items()]).write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quern = {"path": path} | watch.get
     return out
