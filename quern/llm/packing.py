@@ -94,11 +94,11 @@ def postings(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return (every[begin] >> np.uint32(12)).astype(np.int64), (every[begin] & np.uint32(4095)).astype(np.int64), np.diff(np.r_[begin, len(every)])
 
 
-def document_frequencies(docs: list[np.ndarray]) -> np.ndarray:
-    """In how many of up to 4096 documents each term occurs."""
+def distinct_terms(docs: list[np.ndarray]) -> np.ndarray:
+    """The distinct terms of each of up to 4096 documents, all in one."""
     term, doc = pairs_of(docs)
     every = np.sort(term << np.uint32(12) | doc.astype(np.uint32))
-    return np.bincount(every[np.r_[True, every[1:] != every[:-1]][: len(every)]] >> np.uint32(12), minlength=FEATURES)
+    return every[np.r_[True, every[1:] != every[:-1]][: len(every)]] >> np.uint32(12)
 
 
 def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,10 +114,14 @@ class Stats:
         self.n, self.mean = n, max(mean, 1.0)
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
         self.alone = df < 2
+        self.made: list[np.ndarray] = []
 
     def orders(self) -> list[np.ndarray]:
-        """Two pseudo-random orders of the terms, those of weight first; terms of a single document gather nothing and are last."""
-        out = []
+        """Two pseudo-random orders of the terms, those of weight first; terms of a single document gather nothing and are last.
+        Made once in a worker."""
+        out = self.made
+        if out:
+            return out
         for seed in (1, 2):
             u = ((mix64(np.arange(1, FEATURES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * seed)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
             out.append(np.where(self.alone, np.inf, -np.log(u) / np.maximum(self.idf, 1e-6)).astype(np.float32))
@@ -128,7 +132,7 @@ def stats_of(docs: list[np.ndarray]) -> Stats:
     """Of a few documents."""
     df = np.zeros(FEATURES, np.int64)
     for start in range(0, len(docs), 4096):
-        df += document_frequencies(docs[start : start + 4096])
+        df += np.bincount(distinct_terms(docs[start : start + 4096]), minlength=FEATURES)
     return Stats(df, len(docs), float(np.mean([max(len(d) - 1, 0) for d in docs])) if docs else 0.0)
 
 
@@ -231,14 +235,20 @@ def _tokenize(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         kind, df = f"<u{enc.width}", np.zeros(FEATURES, np.int64)
+        held: list[np.ndarray] = []
         for batch in batched(batches, "text"):
             every = []
             for text in raw_texts(batch, "text"):
                 ids = enc.encode(text.decode())
                 ids.append(END)
                 every.append(np.fromiter(ids, kind, len(ids)))
-            df += document_frequencies(every)
+            held.append(distinct_terms(every))
+            if sum(map(len, held)) > FEATURES:
+                df += np.bincount(np.concatenate(held), minlength=FEATURES)
+                held = []
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in every], pa.int64()), pa.array([x.tobytes() for x in every], pa.binary())], names=["doc_id", "tokens", "ids"])
+        if held:
+            df += np.bincount(np.concatenate(held), minlength=FEATURES)
         if df.any():
             # The counts of this task, in rows of their own, told from documents by a negative number.
             parts = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in np.split(df.astype("<u4"), BLOCKS)]
@@ -323,7 +333,7 @@ def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, id_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     encoded = texts.mapInArrow(_tokenize(tokenizer), "doc_id long, tokens long, ids binary")
     of_docs = F.col("tokens") > 0
-    encoded = materialize(encoded, "pack-tokens", n=F.count_if(of_docs), total=F.sum(F.when(of_docs, F.col("tokens") - 1)))
+    encoded = materialize(encoded, "pack-tokens", "lz4_raw", n=F.count_if(of_docs), total=F.sum(F.when(of_docs, F.col("tokens") - 1)))
     shared = docs.sparkSession.sparkContext.broadcast(corpus_stats(encoded))
     routed = encoded.where(of_docs).mapInArrow(_route(shared), "doc_id long, tokens long, ids binary, near long, nearer long")
     # Dealt by the first term; what is too large for a task, as the copies of one text may be, is split as it is read.
