@@ -333,7 +333,7 @@ def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, id_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     encoded = texts.mapInArrow(_tokenize(tokenizer), "doc_id long, tokens long, ids binary")
     of_docs = F.col("tokens") > 0
-    encoded = materialize(encoded, "pack-tokens", "lz4_raw", n=F.count_if(of_docs), total=F.sum(F.when(of_docs, F.col("tokens") - 1)))
+    encoded = materialize(encoded, "pack-tokens", "snappy", n=F.count_if(of_docs), total=F.sum(F.when(of_docs, F.col("tokens") - 1)))
     shared = docs.sparkSession.sparkContext.broadcast(corpus_stats(encoded))
     routed = encoded.where(of_docs).mapInArrow(_route(shared), "doc_id long, tokens long, ids binary, near long, nearer long")
     # Dealt by the first term; what is too large for a task, as the copies of one text may be, is split as it is read.
