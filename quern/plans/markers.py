@@ -77,9 +77,13 @@ def rank_genes_groups(t):
     return got.select("grp", "col_id", r("z").alias("z"), r("p_adj").alias("p_adj"), r("log2fc", 4).alias("log2fc"), r("pts").alias("pts"), r("pts_rest").alias("pts_rest"), "rank")
 
 
-@query("E1", "W7")
+@query("E1", "W7", sql=f"""
+WITH {RANKS}, y AS (SELECT *, {PLAIN_Z} AS z, abs({PLAIN_Z}) AS a FROM rs), p AS (SELECT *, {two_sided_sql('a')} AS p FROM y),
+x AS (SELECT *, least(1, p * count(*) OVER (PARTITION BY grp)) AS p_adj, row_number() OVER (PARTITION BY grp ORDER BY round(abs(z), 9) DESC, col_id) AS rank FROM p)
+SELECT grp, col_id, round(z, 6) + 0.0 AS z, round(p_adj, 6) AS p_adj, rank FROM x WHERE rank <= 10""")
 def rank_genes_bonferroni(t):
-    return k.rank_genes_groups(_logged(t), t.obs(), 10, "bonferroni", by_abs=True)
+    scored = k.rank_genes_groups(_logged(t), t.obs(), None, "bonferroni", by_abs=True).withColumn("__a", F.round(F.abs("z"), 9))
+    return k.top_by_group(scored, ["grp"], [F.desc("__a"), F.asc("col_id")], 10).select("grp", "col_id", r("z").alias("z"), r("p_adj").alias("p_adj"), "rank")
 
 
 MARKERS = f"""{RANKS}, f AS (SELECT *, log2((e + 1) / size) - log2((total_e - e + 1) / (n - size)) AS fc, round(nnz / size, 3) AS pct_1, round((above - nnz) / (n - size), 3) AS pct_2 FROM rs),
