@@ -108,9 +108,11 @@ def ranked_lookup(asked: DataFrame, base: DataFrame, key: str, exact: str, place
 
 @operator("J17", "B18", group="tables")
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """old and new, one row to a key: the later by `at`, of equal ones the new."""
+    """old and new, one row to a key: the later by `at`, of equal ones the new, of equal ones of one table the smallest by its
+    other columns in their order."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    return both.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(F.col(at).desc_nulls_last(), F.desc("__new")))).where("__n = 1").drop("__n", "__new")
+    ties = [F.asc(c) for c in both.columns if c not in (*keys, at, "__new")]
+    return both.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(F.col(at).desc_nulls_last(), F.desc("__new"), *ties))).where("__n = 1").drop("__n", "__new")
 
 
 @operator("J16", group="tables")
