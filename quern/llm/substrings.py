@@ -8,7 +8,7 @@ at least SPAN words long its words are removed. The holder's words come in segme
 
 A window of an anchor may be missing at its first holder's and still stand in another earlier document. Such windows go on
 by the 35 words to either side of the anchor, then whole, by a SHA-256 of their words (16 bytes kept), each only if more than one
-document has it, and meet the smallest document that has the same. So nothing is lost, and text that is shared costs no row
+document has it, and meet the smallest document that has the same. Documents with the same words there go on as one. So nothing is lost, and text that is shared costs no row
 by window.
 
 Texts of equal words form a class: the smallest id goes on, and the others are removed whole (if SPAN words long). No
@@ -182,15 +182,15 @@ def _without(words: list[bytes], spans: list[tuple[int, int]]) -> tuple[int, str
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batched(batches, "words", 1 << 20):
-        rows, starts, hashes = [], [], []
-        for i, (lo, words) in enumerate(zip(batch.column("lo").to_pylist(), batch.column("words").to_pylist(), strict=True)):
+        rows, places, hashes = [], [], []
+        for i, words in enumerate(batch.column("words").to_pylist()):
             every = words.split()
             for k in range(len(every) - SPAN + 1):
                 rows.append(i)
-                starts.append(lo + k)
+                places.append(k)
                 hashes.append(_digest(every[k : k + SPAN])[:16])
         of = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("unit").take(of), pa.array(starts, pa.int32()), pa.array(hashes, pa.binary())], names=["id", "unit", "at", "window"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("run", "least", "most")), pa.array(places, pa.int32()), pa.array(hashes, pa.binary())], names=["run", "least", "most", "place", "window"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,14 +238,19 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # What the first holders lack, and another earlier document may have.
     spare = extended.select("id", "unit", F.inline("spare"))
     halves = materialize(spare.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"), "repeat-halves")
-    windows = materialize(spare.join(halves, "key").select("id", "unit", "lo", "words").mapInArrow(_windows, "id long, unit long, at int, window binary"), "repeat-windows")
-    least = materialize(windows.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("window", "low"), "repeat-least")
-    late = windows.join(least, "window").where("id > low").groupBy("id", "unit").agg(F.collect_list("at").alias("starts"))
+    # Documents that share such words share a run of windows: its windows are made once, and a document costs a row by run.
+    asked = materialize(spare.join(halves, "key").select("id", "unit", "lo", "words", F.unhex(F.sha2("words", 256)).alias("run")), "repeat-asked")
+    runs = asked.groupBy("run").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.any_value("words").alias("words"))
+    windows = materialize(runs.mapInArrow(_windows, "run binary, least long, most long, place int, window binary"), "repeat-windows")
+    least = materialize(windows.groupBy("window").agg(F.min("least").alias("low"), F.max("most").alias("high")).where("low < high").select("window", "low"), "repeat-least")
+    held = materialize(windows.join(least, "window").where("most > low").groupBy("run").agg(F.collect_list(F.struct("place", "low")).alias("held")), "repeat-held")
+    starts = F.transform(F.filter("held", lambda h: h["low"] < F.col("id")), lambda h: h["place"] + F.col("lo"))
+    late = asked.join(held, "run").select("id", "unit", starts.alias("starts")).where(F.size("starts") > 0).groupBy("id", "unit").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     late = materialize(late.join(extended.select("id", "unit", "spans").dropDuplicates(["id", "unit"]), ["id", "unit"]), "repeat-late")
     cut = _with_text(texts, late).select("id", "unit", "spans", "starts", "text").mapInArrow(_remove, "id long, digest binary, n_late long, late_sha256 string").dropDuplicates(["id", "digest"])
     done = extended.select("id", "digest", "n_removed", "kept_sha256").dropDuplicates(["id", "digest"]).join(cut, ["id", "digest"], "left")
     done = materialize(done.select("id", "digest", F.coalesce("n_late", "n_removed").alias("n_removed"), F.coalesce("late_sha256", "kept_sha256").alias("kept_sha256")).where("n_removed > 0"), "repeat-done")
-    release(keys, hits, needed, segments, halves, windows, least, extended)
+    release(keys, hits, needed, segments, halves, asked, windows, least, held, extended)
 
     copy = F.col("first").isNotNull() & (F.col("id") > F.col("first"))
     out = scanned.select("id", "n_words", "digest").join(classes, "digest", "left").join(done, ["id", "digest"], "left")
