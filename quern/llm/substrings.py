@@ -8,8 +8,9 @@ at least SPAN words long its words are removed. The holder's words come in segme
 
 A window of an anchor may be missing at its first holder's and still stand in another earlier document. Such windows go on
 by the 35 words to either side of the anchor, then whole, by a SHA-256 of their words (16 bytes kept), each only if more than one
-document has it, and meet the smallest document that has the same. Documents with the same words there go on as one. So nothing is lost, and text that is shared costs no row
-by window.
+document has it, and meet the smallest document that has the same. Documents with the same words there go on as one before
+anything is joined, and places of a document with the same words (a word pair over and over) as one row. So nothing is lost,
+and text that is shared costs no row by window.
 
 Texts of equal words form a class: the smallest id goes on, and the others are removed whole (if SPAN words long). No
 pairs of documents are made: an anchor costs one row for each place that has it, however many share it.
@@ -37,7 +38,7 @@ GRAMS, REACH, HALF = SPAN - K + 1, SPAN - K, (SPAN - K) // 2
 EMPTY = hashlib.sha256(b"").hexdigest()
 SEEDS = "array<struct<key:bigint,at:int,lo:int,hi:int>>"
 _SEED = pa.struct([("key", pa.int64()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
-_SPARE = pa.struct([("key", pa.int64()), ("lo", pa.int32()), ("words", pa.binary())])
+_SPARE = pa.struct([("key", pa.int64()), ("los", pa.list_(pa.int32())), ("words", pa.binary())])
 
 
 def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,12 +128,13 @@ def extend(words: list[bytes], holder: Holder, at: int, off: int) -> tuple[int,
     return begin, end
 
 
-def _spare(words: list[bytes], at: int, lo: int, hi: int) -> Iterator[dict]:
-    """The windows lo to hi of the anchor at a place, by the half of their other words that they all have."""
+def _spare(words: list[bytes], at: int, lo: int, hi: int) -> Iterator[tuple[int, int, bytes]]:
+    """The windows lo to hi of the anchor at a place, by the half of their other words that they all have: key, place and words.
+    The words settle the key."""
     turn = at - HALF
     for key, first, last in ((words[max(turn, 0) : at + K], lo, min(hi, turn)), (words[at : at + K + HALF], max(lo, turn + 1), hi)):
         if first <= last:
-            yield {"key": xxhash.xxh3_64_intdigest(b" ".join(key), seed=int(first > turn)) - (1 << 63), "lo": first, "words": b" ".join(words[first : last + SPAN])}
+            yield xxhash.xxh3_64_intdigest(b" ".join(key), seed=int(first > turn)) - (1 << 63), first, b" ".join(words[first : last + SPAN])
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +146,7 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in given[i].as_py() or ():
                 holders.setdefault((part["f_id"], part["f_unit"]), Holder()).parts[part["part"]] = part["words"].split()
             runs: dict[tuple[int, int, int], tuple[int, int]] = {}
-            spans, spare = [], []
+            spans, spare = [], {}
             for p in sorted(places[i].as_py(), key=lambda p: p["at"]):
                 at, lo, hi = p["at"], p["lo"], p["hi"]
                 begin = end = at
@@ -159,15 +161,16 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     inner = (max(lo, begin), min(hi, end - SPAN))
                     for a, b in ((lo, inner[0] - 1), (inner[1] + 1, hi)) if inner[0] <= inner[1] else ((lo, hi),):
                         if a <= b:
-                            spare += _spare(words, at, a, b)
+                            for key, place, run in _spare(words, at, a, b):
+                                spare.setdefault((key, run), []).append(place)
             n, kept = _without(words, spans)
-            out.append((ids[i], digest, _unit(digest), n, kept, [x for s in spans for x in s], spare))
+            out.append((ids[i], digest, _unit(digest), n, kept, [x for s in spans for x in s], [{"key": k, "los": v, "words": w} for (k, w), v in spare.items()]))
         if out:
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(_SPARE))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "digest", "unit", "n_removed", "kept_sha256", "spans", "spare"])
 
 
-EXTENDED = "id long, digest binary, unit long, n_removed long, kept_sha256 string, spans array<int>, spare array<struct<key:bigint,lo:int,words:binary>>"
+EXTENDED = "id long, digest binary, unit long, n_removed long, kept_sha256 string, spans array<int>, spare array<struct<key:bigint,los:array<int>,words:binary>>"
 
 
 def _without(words: list[bytes], spans: list[tuple[int, int]]) -> tuple[int, str]:
@@ -236,21 +239,20 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     extended = materialize(_with_text(texts, materialize(extending, "repeat-given")).select("id", "unit", "places", "given", "text").mapInArrow(_extended, EXTENDED), "repeat-extended")
 
     # What the first holders lack, and another earlier document may have.
-    spare = extended.select("id", "unit", F.inline("spare"))
-    halves = materialize(spare.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"), "repeat-halves")
-    # Documents that share such words share a run of windows: its windows are made once, and a document costs a row by run.
-    asked = materialize(spare.join(halves, "key").select("id", "unit", "lo", "words", F.unhex(F.sha2("words", 256)).alias("run")), "repeat-asked")
-    runs = asked.groupBy("run").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.any_value("words").alias("words"))
-    windows = materialize(runs.mapInArrow(_windows, "run binary, least long, most long, place int, window binary"), "repeat-windows")
+    # Documents that share such words share a run of windows: it is joined and its windows are made once, and a document costs a row by run.
+    spare = extended.select("id", "unit", F.inline("spare")).withColumn("run", F.unhex(F.sha2("words", 256)))
+    runs = materialize(spare.groupBy("run").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.any_value("key").alias("key"), F.any_value("words").alias("words")), "repeat-runs")
+    halves = materialize(runs.groupBy("key").agg(F.min("least").alias("low"), F.max("most").alias("high")).where("low < high").select("key"), "repeat-halves")
+    windows = materialize(runs.join(halves, "key").select("run", "least", "most", "words").mapInArrow(_windows, "run binary, least long, most long, place int, window binary"), "repeat-windows")
     least = materialize(windows.groupBy("window").agg(F.min("least").alias("low"), F.max("most").alias("high")).where("low < high").select("window", "low"), "repeat-least")
     held = materialize(windows.join(least, "window").where("most > low").groupBy("run").agg(F.collect_list(F.struct("place", "low")).alias("held")), "repeat-held")
-    starts = F.transform(F.filter("held", lambda h: h["low"] < F.col("id")), lambda h: h["place"] + F.col("lo"))
-    late = asked.join(held, "run").select("id", "unit", starts.alias("starts")).where(F.size("starts") > 0).groupBy("id", "unit").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    starts = F.flatten(F.transform(F.filter("held", lambda h: h["low"] < F.col("id")), lambda h: F.transform("los", lambda lo: lo + h["place"])))
+    late = spare.select("id", "unit", "los", "run").join(held, "run").select("id", "unit", starts.alias("starts")).where(F.size("starts") > 0).groupBy("id", "unit").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     late = materialize(late.join(extended.select("id", "unit", "spans").dropDuplicates(["id", "unit"]), ["id", "unit"]), "repeat-late")
     cut = _with_text(texts, late).select("id", "unit", "spans", "starts", "text").mapInArrow(_remove, "id long, digest binary, n_late long, late_sha256 string").dropDuplicates(["id", "digest"])
     done = extended.select("id", "digest", "n_removed", "kept_sha256").dropDuplicates(["id", "digest"]).join(cut, ["id", "digest"], "left")
     done = materialize(done.select("id", "digest", F.coalesce("n_late", "n_removed").alias("n_removed"), F.coalesce("late_sha256", "kept_sha256").alias("kept_sha256")).where("n_removed > 0"), "repeat-done")
-    release(keys, hits, needed, segments, halves, asked, windows, least, held, extended)
+    release(keys, hits, needed, segments, runs, halves, windows, least, held, extended)
 
     copy = F.col("first").isNotNull() & (F.col("id") > F.col("first"))
     out = scanned.select("id", "n_words", "digest").join(classes, "digest", "left").join(done, ["id", "digest"], "left")

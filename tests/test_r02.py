@@ -166,3 +166,24 @@ def test_elastic_network_joins_no_pairs(spark, monkeypatch):
     got = {(r.a, r.b, r.p, r.q): r.value for r in made.collect()}
     monkeypatch.setattr(geometry, "MOST_POINTS", 10)
     assert got == pytest.approx({(r.a, r.b, r.p, r.q): r.value for r in geometry.elastic_network(df, 1.5).collect()})
+
+
+def test_repeats_take_equal_places_once(spark, monkeypatch):
+    """op7: a word pair over and over in a large group of documents, whose first holder has too little of it."""
+    spares, made = [], {}
+    kept = substrings.materialize
+
+    def keep(df, name):
+        made[name] = kept(df, name)
+        if name == "repeat-extended":
+            spares.append(made[name].selectExpr("id", "inline(spare)").count())
+        return made[name]
+
+    monkeypatch.setattr(substrings, "materialize", keep)
+    rng = random.Random(0)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [(0, " ".join([*words(30), *["on", "is"] * 24, *words(30)]))] + [(i, " ".join([*words(30), *["on", "is"] * 150, *words(30)])) for i in range(1, 31)]
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0} | {i: 300 for i in range(2, 31)}
+    assert 0 < spares[0] < 30 * 30
+    assert 0 < made["repeat-runs"]._quern["rows"] <= spares[0]
